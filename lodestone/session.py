@@ -26,9 +26,20 @@ def local_session(cores: int | str = 8, app: str = "lodestone", **conf: str) ->
     } | conf
     spark = SparkSession.builder.appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return reachable(spark)
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the package wherever the driver was started; clusters use --py-files."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
 
 
 def read(spark: SparkSession, sf_dir: str, name: str):
     """One input table by name; Catalyst prunes its columns and pushes filters to the scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
