@@ -121,7 +121,22 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start, end) of each word; no word spans two rows."""
+    """(hash, row, start, end) of each word; no word spans two rows. A longer run of bytes goes piece by piece."""
+    if len(data) <= 4 * STEP_BYTES:
+        return _words(data, offsets)
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + 2 * STEP_BYTES, len(data))
+        if end < len(data):  # back to the last byte that is no word's, if there is one
+            gap = np.flatnonzero(~_WORD[data[at:end]])
+            end = at + int(gap[-1]) + 1 if len(gap) else end
+        h, row, start, stop = _words(data[at:end], np.clip(offsets - at, 0, end - at))
+        found.append((h, row, start + at, stop + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(data):
         none = np.zeros(0, np.int64)
         return none.astype(U64), none, none, none

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, mixing, urls
+from lodestone.llm import chat, mixing, simhash, urls
 from lodestone.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op4_simhash_near_dedup": lambda s, d: simhash.near_duplicates(read(s, d, "documents")),
     "op7_url_filters": lambda s, d: urls.filter_urls(read(s, d, "pages")),
     "op8_mixing": lambda s, d: mixing.select_blocks(read(s, d, "documents")),
     "op10_chat_rotation": lambda s, d: chat.rotate(read(s, d, "conversations")),
