@@ -52,6 +52,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids up to which the side of an id join is broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS = 200_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    ids = cut(ids.toDF("_id").distinct())
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids' only column; null doc_ids stay."""
+    ids = _small(ids)
+    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_anti")
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs' rows whose doc_id is in ids' only column, where null equals null."""
+    ids = _small(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
 def text_steps(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about step bytes; null counts as empty. No Python strings."""
     if isinstance(texts, pa.ChunkedArray):

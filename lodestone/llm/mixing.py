@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import keep_ids
+
 #: Production parameters of the query and the pipeline. A source that WEIGHTS doesn't name weighs 1.
 WEIGHTS = {"src0": 2.0, "src1": 1.5}
 BLOCK_TOKENS, N_SHARDS, FRACTION, SEED = 2048, 8, 0.6, 17
@@ -64,8 +66,7 @@ def select_blocks(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, block
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """docs' rows in chosen blocks, with docs' columns. Rows that share a doc_id are taken together if any is chosen."""
-    chosen = select_blocks(docs, **parameters).select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(chosen.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(chosen["_chosen"]), "left_semi")
+    return keep_ids(docs, select_blocks(docs, **parameters).select("doc_id"))
 
 
 def oracle(table: str = "documents", columns: str = "doc_id, source, shard, block, quota, n_tokens") -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, langid, mixing, quality, records, simhash, urls
+from lodestone.llm import chat, decontam, langid, mixing, quality, records, simhash, urls
 from lodestone.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality": lambda s, d: quality.classify(read(s, d, "documents"), read(s, d, "labels")),
     "op7_url_filters": lambda s, d: urls.filter_urls(read(s, d, "pages")),
     "op8_mixing": lambda s, d: mixing.select_blocks(read(s, d, "documents")),
+    "op9_decontamination": lambda s, d: decontam.leaks(read(s, d, "documents"), read(s, d, "benchmark")),
     "op10_chat_rotation": lambda s, d: chat.rotate(read(s, d, "conversations")),
 }
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, connected_components, cut, mix, text_steps, words, written
+from lodestone.llm.common import U64, connected_components, cut, drop_ids, mix, text_steps, words, written
 
 BITS, THRESHOLD = 128, 16
 #: Cost of an emitted row and of a verified candidate, in microseconds, for the dynamic program.
@@ -315,5 +315,4 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs without the documents that near_duplicates would drop; null doc_ids and wordless texts stay."""
-    gone = near_duplicates(docs, threshold).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return drop_ids(docs, near_duplicates(docs, threshold).select("doc_id"))
