@@ -30,6 +30,9 @@ BITS, THRESHOLD = 128, 16
 #: Cost of an emitted row and of a verified candidate, in microseconds, for the dynamic program.
 ROW_US, CANDIDATE_US = 2.0, 0.02
 SMALL_BUCKET = 48
+#: Partitions and thresholds are chosen as if there were at least so many signatures, so that the search works
+#: alike at every size: a plan for a small table probes narrow partitions, whose candidates grow as its square.
+DESIGN_ROWS = 1 << 24
 
 
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +131,7 @@ def allocate(second: np.ndarray, threshold: int = THRESHOLD) -> tuple[list[list[
     """Partitions of bits and their thresholds, of least estimated cost over all numbers of partitions."""
     n = second[-1, -1]
     mean = second[-1, :-1] / max(n, 1)
+    n = max(n, DESIGN_ROWS)
     disagree, best = 2 * mean * (1 - mean), None
     for parts in range(3, threshold + 2):
         groups = group_bits(second, parts)
