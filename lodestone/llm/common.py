@@ -95,7 +95,7 @@ def text_steps(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, n
         row = end
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, U64)
     out[0] = 1
     have = 1
@@ -114,7 +114,7 @@ _POW: dict[str, np.ndarray] = {}
 def _table(name: str, base: int, n: int) -> np.ndarray:
     have = _POW.get(name)
     if have is None or len(have) < n:
-        _POW[name] = have = _powers(base, max(n, STEP_BYTES + 4096))
+        _POW[name] = have = powers(base, max(n, STEP_BYTES + 4096))
     return have
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontam, langid, mixing, quality, records, simhash, urls
+from lodestone.llm import chat, decontam, langid, mixing, quality, records, simhash, substring, urls
 from lodestone.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": lambda s, d: langid.identify(read(s, d, "documents")),
     "op2_token_records": lambda s, d: records.records(read(s, d, "documents")),
     "op4_simhash_near_dedup": lambda s, d: simhash.near_duplicates(read(s, d, "documents")),
+    "op5_substring_dedup": lambda s, d: substring.remove_repeats(read(s, d, "documents")),
     "op6_quality": lambda s, d: quality.classify(read(s, d, "documents"), read(s, d, "labels")),
     "op7_url_filters": lambda s, d: urls.filter_urls(read(s, d, "pages")),
     "op8_mixing": lambda s, d: mixing.select_blocks(read(s, d, "documents")),
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_substring_dedup": substring.ORACLE,
     "op7_url_filters": urls.oracle(),
     "op8_mixing": mixing.oracle(),
     "op10_chat_rotation": chat.ORACLE,
