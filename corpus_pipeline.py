@@ -1,8 +1,59 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, mixing, token records.
 
-STAGES = []
+Every stage works on all that the one before it kept. All but the last return the columns of documents; the
+last one returns framed token records. On a cluster a driver writes each stage and reads it again; run()
+does so itself, into the folder that all executors share.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.llm import decontam, mixing, quality, records, simhash
+from lodestone.llm.common import written
+from lodestone.session import read
+
+#: SQL can't express the network, the signatures, the SVD nor the BPE merges: tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.deduplicate(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the blocks that each source was allotted."""
+    return mixing.mix(docs)
+
+
+def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Framed token records and their places in the shards."""
+    return records.records(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_records", records_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies STAGES to documents; each result but the last is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontam, langid, mixing, quality, records, simhash, substring, urls
+from lodestone.llm import chat, decontam, langid, media, mixing, quality, records, simhash, substring, urls
 from lodestone.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_language_id": lambda s, d: langid.identify(read(s, d, "documents")),
     "op2_token_records": lambda s, d: records.records(read(s, d, "documents")),
+    "op3_media_hashes": lambda s, d: media.hash_pictures(media.paint(read(s, d, "embeddings"))),
     "op4_simhash_near_dedup": lambda s, d: simhash.near_duplicates(read(s, d, "documents")),
     "op5_substring_dedup": lambda s, d: substring.remove_repeats(read(s, d, "documents")),
     "op6_quality": lambda s, d: quality.classify(read(s, d, "documents"), read(s, d, "labels")),
