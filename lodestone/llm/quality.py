@@ -29,9 +29,12 @@ def _pairs(tables: np.ndarray) -> np.ndarray:
     return np.stack([(tables[k][:, None, :] + tables[k + 1][None, :, :]).reshape(65536, -1) for k in range(0, WIDTH, 2)])
 
 
-def _block_max(data: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """(blocks, FILTERS) maxima of the filters that begin in each HOP bytes; data ends with WIDTH spare bytes."""
-    n = len(data) - WIDTH
+def _block_max(data: np.ndarray, pairs: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(blocks, FILTERS) maxima of the filters that begin in each HOP bytes; data ends with WIDTH spare bytes.
+
+    At ends, where the next document begins, filters see zeros instead.
+    """
+    n, zeros = len(data) - WIDTH, pairs[:, 0].sum(0)
     code = (data[:-1].astype(np.uint16) << 8) | data[1:]
     out = np.empty((n // HOP, FILTERS), np.float32)
     for at in range(0, n, PASS_BYTES):
@@ -39,6 +42,9 @@ def _block_max(data: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         y = pairs[0].take(code[at:end], axis=0)
         for k in range(1, WIDTH // 2):
             y += pairs[k].take(code[at + 2 * k : end + 2 * k], axis=0)
+        over = ends[(ends > at) & (ends <= end)] - at
+        for k in range(1, WIDTH):
+            y[over - k] = zeros
         out[at // HOP : end // HOP] = y.reshape(-1, HOP, FILTERS).max(1)
     return out
 
@@ -67,7 +73,7 @@ def probabilities(texts: pa.Array, model: Model) -> np.ndarray:
     out, pairs = [np.zeros(0)], model["pairs"]
     for _, data, offsets in text_steps(texts):
         laid, first = _laid(data, offsets)
-        chunk = _chunks(_block_max(laid, pairs) + model["bias"], first)
+        chunk = _chunks(_block_max(laid, pairs, first[1:] * HOP) + model["bias"], first)
         top = np.maximum.reduceat(chunk, first[:-1], axis=0)
         mean = np.add.reduceat(chunk, first[:-1], axis=0) / np.diff(first)[:, None]
         z = np.concatenate([top, mean], 1) @ model["weight"] + model["offset"]
@@ -94,6 +100,8 @@ def train(texts: list[str], good: np.ndarray, epochs: int = EPOCHS, seed: int =
             y = np.zeros((n, FILTERS), np.float32)
             for k in range(WIDTH):
                 y += p["tables"][k].take(laid[k : n + k], axis=0)
+            for k in range(1, WIDTH):
+                y[first[1:] * HOP - k] = p["tables"][:, 0].sum(0)
             y = y.reshape(-1, HOP, FILTERS)
             where = y.argmax(1)
             block = np.take_along_axis(y, where[:, None], 1)[:, 0]
@@ -115,10 +123,11 @@ def train(texts: list[str], good: np.ndarray, epochs: int = EPOCHS, seed: int =
             dblock = np.where(later, 0, dchunk)
             dblock[1:] += np.where(later, dchunk, 0)[:-1]
             b, f = np.nonzero(dblock)
-            pos, g = b * HOP + where[b, f], dblock[b, f]
+            pos, g, limit = b * HOP + where[b, f], dblock[b, f], (first[1:] * HOP)[of[b]]
             dt = np.zeros_like(p["tables"])
             for k in range(WIDTH):
-                dt[k] = np.bincount(laid[pos + k].astype(np.int64) * FILTERS + f, g, 256 * FILTERS).reshape(256, FILTERS)
+                seen = np.where(pos + k < limit, laid[pos + k], 0).astype(np.int64)
+                dt[k] = np.bincount(seen * FILTERS + f, g, 256 * FILTERS).reshape(256, FILTERS)
             grads = {"tables": dt + 1e-5 * p["tables"], "bias": dblock.sum(0), "weight": feat.T @ dz + 1e-4 * p["weight"], "offset": dz.sum(keepdims=True)}
             t += 1
             for k, g in grads.items():
