@@ -30,6 +30,8 @@ BITS, THRESHOLD = 128, 16
 #: Cost of an emitted row and of a verified candidate, in microseconds, for the dynamic program.
 ROW_US, CANDIDATE_US = 2.0, 0.02
 SMALL_BUCKET = 48
+#: Bits of a partition's value that don't decide which task a row goes to.
+LOW_BITS = 10
 #: Partitions and thresholds are chosen as if there were at least so many signatures, so that the search works
 #: alike at every size: a plan for a small table probes narrow partitions, whose candidates grow as its square.
 DESIGN_ROWS = 1 << 24
@@ -164,17 +166,24 @@ def _masks(width: int, radius: int) -> np.ndarray:
 
 
 def _emitter(groups: list[list[int]], thresholds: list[int]):
+    """Rows (ball, node, s1, s2): of a value's ball only what differs in its high bits, with the radius left for the low ones."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes = [(i, np.array(g), _masks(len(g), t // 2)) for i, (g, t) in enumerate(zip(groups, thresholds)) if t >= 0]
+        probes = []
+        for i, (g, t) in enumerate(zip(groups, thresholds)):
+            if t >= 0:
+                high = _masks(max(len(g) - LOW_BITS, 0), t // 2)
+                left = np.int64(t // 2) - np.bitwise_count(high)
+                probes.append((np.array(g), high << LOW_BITS, (np.int64(i) << np.int64(57)) | (left << np.int64(55))))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 node, s1, s2 = (part.column(k).to_numpy() for k in range(3))
                 bits = _bits(s1, s2).astype(np.int64)
-                for i, g, masks in probes:
+                for g, masks, tag in probes:
                     value = bits[:, g] @ (np.int64(1) << np.arange(len(g), dtype=np.int64))
-                    key = (value[:, None] ^ masks[None, :]).ravel() | (np.int64(i) << np.int64(57))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(x, len(masks))) for x in (node, s1, s2))], ["key", "node", "s1", "s2"])
+                    ball = ((value[:, None] ^ masks[None, :]) | tag[None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(ball), *(pa.array(np.repeat(x, len(masks))) for x in (node, s1, s2))], ["ball", "node", "s1", "s2"])
 
     return emit
 
@@ -294,8 +303,15 @@ def _bucketer(threshold: int):
 def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(src, dst) edges that connect every two nodes of distinct(node, s1, s2) within the threshold, and no others."""
     groups, thresholds = allocate(moments(distinct), threshold)
-    rows = distinct.select("node", "s1", "s2").mapInArrow(_emitter(groups, thresholds), "key long, node long, s1 long, s2 long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucketer(threshold), "src long, dst long")
+    balls = distinct.select("node", "s1", "s2").mapInArrow(_emitter(groups, thresholds), "ball long, node long, s1 long, s2 long")
+    value = F.col("ball").bitwiseAND(~(3 << 55))
+    left = F.shiftright("ball", 55).bitwiseAND(3)
+    low = [F.array(*(F.lit(int(m)).cast("bigint") for m in _masks(LOW_BITS, r))) for r in range(3)]
+    flips = F.explode(F.when(left == 0, low[0]).when(left == 1, low[1]).otherwise(low[2])).alias("flip")
+    # a value's neighbours in its low bits share its high bits, so they are made behind the exchange
+    rows = balls.repartition(F.shiftright(value, LOW_BITS)).select(value.alias("value"), flips, "node", "s1", "s2")
+    keyed = rows.select(F.col("value").bitwiseXOR(F.col("flip")).alias("key"), "node", "s1", "s2")
+    return keyed.sortWithinPartitions("key").mapInArrow(_bucketer(threshold), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
