@@ -18,8 +18,9 @@ from lodestone.llm.common import U64, mix, powers, text_steps, words
 
 #: Stands for "no keeper" beside doc_ids.
 NO_KEEPER = np.iinfo(np.int64).min
-#: A run of repeated units goes if it has so many words in all: shorter ones repeat by chance in clean text.
-MIN_WORDS = 25
+#: A run of repeated units goes if its units of at least UNIT_WORDS words have so many words in all: shorter runs,
+#: and runs of very short units such as single words, repeat by chance in clean text.
+MIN_WORDS, UNIT_WORDS = 25, 4
 
 _BASE = 0xD6E8FEB86659FD93
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -105,7 +106,8 @@ def _cut(data: np.ndarray, offsets: np.ndarray, lists: list, min_words: int) ->
         change = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
         begin, end = change[::2], change[1::2]
         total = np.append(0, np.cumsum(count[a:b]))
-        much = total[end] - total[begin] >= min_words
+        weighty = np.append(0, np.cumsum(np.where(count[a:b] >= UNIT_WORDS, count[a:b], 0)))
+        much = weighty[end] - weighty[begin] >= min_words
         begin, end = begin[much], end[much]
         byte = np.append(start[a:b], hi)
         stays = np.ones(len(text), bool)
@@ -151,8 +153,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text, removed_spans, kept_doc_ids, removed_words) for each row of docs, text without its repeated runs.
 
     docs has doc_id and text; other columns are ignored. A unit is repeated if a smaller doc_id has it anywhere
-    or its own text has it further up; a run of neighbouring repeated units goes if it has min_words words in
-    all. removed_spans lists the "start:end" ranges of characters of the original text that went, comma
+    or its own text has it further up; a run of neighbouring repeated units goes if its units of
+    UNIT_WORDS words and more have min_words words in all. removed_spans lists the "start:end" ranges of characters of the original text that went, comma
     separated; kept_doc_ids are the documents, ascending, that keep what went (the document itself is not named).
 
     A null text stays null; a null doc_id has no rank, so that row stays as it is and counts for nobody. Rows
@@ -187,7 +189,7 @@ g AS (SELECT *, norm <> '' AND (doc_id > keep OR nth > 1) AS again FROM f),
 h AS (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM g),
 r AS (
   SELECT doc_id, island, min(pos0) AS a, max(pos0 + length(unit)) AS b, sum(words) AS words,
-    list(keep) FILTER (WHERE keep < doc_id) AS keeps FROM h WHERE again GROUP BY doc_id, island HAVING sum(words) >= {MIN_WORDS}),
+    list(keep) FILTER (WHERE keep < doc_id) AS keeps FROM h WHERE again GROUP BY doc_id, island HAVING sum(CASE WHEN words >= {UNIT_WORDS} THEN words ELSE 0 END) >= {MIN_WORDS}),
 gone AS (SELECT h.* FROM h JOIN r USING (doc_id, island) WHERE again),
 kept AS (
   SELECT h.doc_id, string_agg(h.unit, '' ORDER BY h.idx) AS text FROM h LEFT JOIN gone USING (doc_id, idx) WHERE gone.doc_id IS NULL GROUP BY h.doc_id),
