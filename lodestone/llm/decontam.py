@@ -114,7 +114,8 @@ def _sums(cell: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-SIDE_BYTES = 1 << 17
+#: Bytes of word numbers that one step turns into latent rows.
+SIDE_BYTES = 1 << 16
 
 
 def _frequency(size: int):
@@ -178,11 +179,11 @@ def _piece_matrix(bench: Bench, weight: np.ndarray) -> np.ndarray:
 
 
 def latent(numbered: DataFrame, bench: Bench, n: int, weight: np.ndarray, rank: int = RANK, extra: int = EXTRA, seed: int = SEED) -> np.ndarray:
-    """(words, rank) right singular vectors of the passages' TF-IDF matrix by a randomised range finder.
+    """(words, rank) right singular vectors of the passages' TF-IDF matrix in a single randomised pass.
 
     The matrix holds every passage of the documents, and the benchmark's pieces with as much weight as all of them
-    together, so that the directions in which pieces differ are among the first. One pass sketches the range, one
-    gets the small Gram matrix inside it.
+    together, so that the directions in which pieces differ are among the first. One pass over the passages multiplies
+    their second moments by a random matrix; the rest is small and done on the driver (Tropp et al., 2017).
     """
     size, width = len(weight), min(rank + extra, len(weight))
     pieces = _piece_matrix(bench, weight)
@@ -201,25 +202,13 @@ def latent(numbered: DataFrame, bench: Bench, n: int, weight: np.ndarray, rank:
                     out[word[order][begin]] += np.add.reduceat(z[cell[order]], begin, axis=0)
         return out * weight[:, None]
 
-    ids_only = numbered.select("ids")
-    y = _summed(ids_only, sketch, size, width) + balance * (pieces.T @ (pieces @ omega))
-    q = np.linalg.qr(y)[0].astype(np.float32)
-
-    def gram(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        scaled, out = q * weight[:, None].astype(np.float32), np.zeros((width, width))
-        for batch in batches:
-            for _, ids, offsets in _sequences(batch.column(0), size, SIDE_BYTES):
-                cell, word, _, _ = _cells(ids, offsets, weight)
-                if len(cell):
-                    begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-                    b = np.add.reduceat(scaled[word], begin, axis=0)
-                    out += b.T @ b
-        return out
-
-    small = pieces @ q
-    g = _summed(ids_only, gram, width, width) + balance * (small.T @ small)
-    value, vector = np.linalg.eigh((g + g.T) / 2)
-    return q.astype(np.float64) @ vector[:, np.argsort(-value)[:rank]]
+    y = _summed(numbered.select("ids"), sketch, size, width) + balance * (pieces.T @ (pieces @ omega))
+    # Nystrom: with A the passages' second moments, y = A omega and A ~ y (omega' y)^-1 y'
+    y = y + 1e-7 * np.linalg.norm(y) * omega
+    core = omega.T.astype(np.float64) @ y
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    value = np.maximum(value, value.max() * 1e-9)
+    return np.linalg.svd(y @ (vector / np.sqrt(value)), full_matrices=False)[0][:, :rank]
 
 
 class Verifier:
