@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import STEP_BYTES, fold, text_steps
+from lodestone.llm.common import BROADCAST_IDS, STEP_BYTES, cut, fold, text_steps
 
 DIMS = 4096
 #: Bound of the labelled sample per language; centroids per language; rejection: this quantile of the
@@ -124,7 +124,9 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, clusters: int = CENTRO
     n, df = document_frequency(docs)
     idf = np.log((1 + n) / (1 + df)) + 0.1
     # the smallest hashes of each language: what lies under 1.5 times the rate that is needed comes to the driver
-    rate = docs.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n_lang"))
+    rate = cut(docs.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n_lang")))
+    if rate.count() <= BROADCAST_IDS:  # else a join by shuffle does the same
+        rate = F.broadcast(rate)
     under = F.lit(1.5 * per_lang * 2.0**63) / F.col("n_lang") + F.lit(1.0)
     near = F.abs(F.xxhash64("doc_id").cast("double")) <= under
     thin = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", "lang").join(rate, "lang").where(near)
