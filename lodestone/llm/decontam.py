@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,32 +143,47 @@ def weights(numbered: DataFrame, size: int) -> tuple[int, np.ndarray]:
     return int(n), idf
 
 
-def _summed(df: DataFrame, work, height: int, width: int) -> np.ndarray:
-    """The sum over tasks of work's (height, width) matrices: tasks send float32 blocks, which are added by key in parallel.
-
-    What is sent grows with the number of tasks but what the driver gets does not.
-    """
-    rows_in_block = max(1, (1 << 18) // width)
+#: Cells of a block of a matrix on its way between tasks, and tasks whose matrices are added first.
+BLOCK_CELLS, FAN_IN = 1 << 14, 32
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = work(batches)
-        for at in range(0, height, rows_in_block):
-            block = total[at : at + rows_in_block].astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["at", "block"])
 
+def _adder(kind: type):
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for b in batch.column("block"):
-                x = np.frombuffer(b.as_buffer(), np.float32).astype(np.float64)
+                x = np.frombuffer(b.as_buffer(), kind).astype(np.float64)
                 total = x if total is None else total + x
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py() // FAN_IN], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "task", "block"])
+
+    return add
+
 
-    sent = df.mapInArrow(send, "at int, block binary").groupBy("at").applyInArrow(add, "at int, block binary").collect()
+def _summed(df: DataFrame, work, height: int, width: int) -> np.ndarray:
+    """The sum over tasks of work's (height, width) matrices, added as a tree: FAN_IN tasks at a time, block by block.
+
+    No task reads more than FAN_IN times a block of each matrix, however many tasks there are, until the last step,
+    and the driver gets one matrix.
+    """
+    rows_in_block = max(1, BLOCK_CELLS // width)
+    schema = "at int, task int, block binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, task = work(batches), TaskContext.get().partitionId() // FAN_IN
+        for at in range(0, height, rows_in_block):
+            block = total[at : at + rows_in_block].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([task], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["at", "task", "block"])
+
+    tasks = df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0  # reads no column
+    parts = df.mapInArrow(send, schema).groupBy("at", "task").applyInArrow(_adder(np.float32), schema)
+    left = tasks // FAN_IN
+    while left:
+        parts = parts.groupBy("at", "task").applyInArrow(_adder(np.float64), schema)
+        left //= FAN_IN
     out = np.zeros((height, width))
-    for r in sent:
+    for r in parts.collect():
         part = np.frombuffer(r["block"], np.float64).reshape(-1, width)
-        out[r["at"] : r["at"] + len(part)] = part
+        out[r["at"] : r["at"] + len(part)] += part
     return out
 
 

@@ -369,6 +369,13 @@ def test_common_subsequences_match_plain_dynamic_programming():
     assert verifier.common(passage, which, verifier.full).tolist() == [lcs(p, pieces[w]) for p, w in zip(passage.tolist(), which)]
 
 
+def test_matrices_add_up_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "FAN_IN", 3)
+    df = spark.range(0, 100, 1, 20).selectExpr("cast(cast(id AS string) AS binary) AS ids")
+    total = decontam._summed(df, lambda batches: np.full((300, 100), float(sum(b.num_rows for b in batches))), 300, 100)
+    assert (total == 100).all()
+
+
 def test_paraphrases_are_found_and_others_left(spark, documents, benchmark):
     item = benchmark.orderBy("item_id").first()
     w = item["text"].split()
