@@ -49,6 +49,25 @@ def _block_max(data: np.ndarray, pairs: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def _block_arg(data: np.ndarray, tables: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_block_max from the tables of single bytes, and where in each block each maximum is."""
+    n, zeros = len(data) - WIDTH, tables[:, 0].sum(0)
+    out, where = np.empty((n // HOP, FILTERS), np.float32), np.empty((n // HOP, FILTERS), np.int64)
+    for at in range(0, n, PASS_BYTES):
+        end = min(at + PASS_BYTES, n)
+        y = tables[0].take(data[at:end], axis=0)
+        for k in range(1, WIDTH):
+            y += tables[k].take(data[at + k : end + k], axis=0)
+        over = ends[(ends > at) & (ends <= end)] - at
+        for k in range(1, WIDTH):
+            y[over - k] = zeros
+        y = y.reshape(-1, HOP, FILTERS)
+        mine = slice(at // HOP, end // HOP)
+        where[mine] = y.argmax(1)
+        out[mine] = np.take_along_axis(y, where[mine][:, None], 1)[:, 0]
+    return out, where
+
+
 def _laid(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Documents each on their own blocks, with WIDTH zero bytes after each at least; and each one's first block."""
     length = np.diff(offsets)
@@ -96,15 +115,7 @@ def train(texts: list[str], good: np.ndarray, epochs: int = EPOCHS, seed: int =
             mine = order[at : at + 32]
             offsets = np.append(0, np.cumsum([len(raw[i]) for i in mine]))
             laid, first = _laid(np.concatenate([raw[i] for i in mine]), offsets)
-            n = len(laid) - WIDTH
-            y = np.zeros((n, FILTERS), np.float32)
-            for k in range(WIDTH):
-                y += p["tables"][k].take(laid[k : n + k], axis=0)
-            for k in range(1, WIDTH):
-                y[first[1:] * HOP - k] = p["tables"][:, 0].sum(0)
-            y = y.reshape(-1, HOP, FILTERS)
-            where = y.argmax(1)
-            block = np.take_along_axis(y, where[:, None], 1)[:, 0]
+            block, where = _block_arg(laid, p["tables"], first[1:] * HOP)
             chunk = _chunks(block + p["bias"], first)
             docs = len(mine)
             of = np.repeat(np.arange(docs), np.diff(first))
