@@ -187,11 +187,14 @@ def _summed(df: DataFrame, work, height: int, width: int) -> np.ndarray:
     return out
 
 
-def _piece_matrix(bench: Bench, weight: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(bench.pieces), len(weight)))
-    for i, p in enumerate(bench.pieces):
-        x[i, p] = weight[p]
-    return x
+def _piece_matrices(bench: Bench, weight: np.ndarray) -> Iterator[np.ndarray]:
+    """The pieces' TF-IDF rows, some at a time: all at once would be pieces times words."""
+    for lo in range(0, len(bench.pieces), 256):
+        some = bench.pieces[lo : lo + 256]
+        x = np.zeros((len(some), len(weight)))
+        for i, p in enumerate(some):
+            x[i, p] = weight[p]
+        yield x
 
 
 def latent(numbered: DataFrame, bench: Bench, n: int, weight: np.ndarray, rank: int = RANK, extra: int = EXTRA, seed: int = SEED) -> np.ndarray:
@@ -202,8 +205,7 @@ def latent(numbered: DataFrame, bench: Bench, n: int, weight: np.ndarray, rank:
     their second moments by a random matrix; the rest is small and done on the driver (Tropp et al., 2017).
     """
     size, width = len(weight), min(rank + extra, len(weight))
-    pieces = _piece_matrix(bench, weight)
-    balance = max(n, 1) / max(len(pieces), 1)
+    balance = max(n, 1) / max(len(bench.pieces), 1)
     omega = np.random.default_rng(seed).normal(size=(size, width)).astype(np.float32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -218,7 +220,9 @@ def latent(numbered: DataFrame, bench: Bench, n: int, weight: np.ndarray, rank:
                     out[word[order][begin]] += np.add.reduceat(z[cell[order]], begin, axis=0)
         return out * weight[:, None]
 
-    y = _summed(numbered.select("ids"), sketch, size, width) + balance * (pieces.T @ (pieces @ omega))
+    y = _summed(numbered.select("ids"), sketch, size, width)
+    for x in _piece_matrices(bench, weight):
+        y += balance * (x.T @ (x @ omega))
     # Nystrom: with A the passages' second moments, y = A omega and A ~ y (omega' y)^-1 y'
     y = y + 1e-7 * np.linalg.norm(y) * omega
     core = omega.T.astype(np.float64) @ y
@@ -270,12 +274,11 @@ class Verifier:
 
 def _searcher(bench: Bench, weight: np.ndarray, space: np.ndarray, cosine: float):
     size = len(weight)
-    pieces = _piece_matrix(bench, weight)
-    norm = np.linalg.norm(pieces, axis=1, keepdims=True)
-    asked = np.divide(pieces, norm, out=np.zeros_like(pieces), where=norm > 0) @ space
+    asked = np.concatenate([x @ space for x in _piece_matrices(bench, weight)])
+    norm = np.linalg.norm(asked, axis=1, keepdims=True)
+    asked = np.divide(asked, norm, out=np.zeros_like(asked), where=norm > 0).astype(np.float32)
     scaled = (space * weight[:, None]).astype(np.float32)
-    asked = asked.astype(np.float32)
-    square = (weight**2).astype(np.float32)
+    rows_in_step = max(1, (1 << 22) // len(asked))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verifier, reach = Verifier(bench), WINDOW // STEP
@@ -285,18 +288,18 @@ def _searcher(bench: Bench, weight: np.ndarray, space: np.ndarray, cosine: float
                 n = int(first[-1])
                 if not len(cell):
                     continue
-                one, mass = _sums(cell, scaled[word], n), np.bincount(cell, square[word], n)
+                one = _sums(cell, scaled[word], n)
                 doc = np.repeat(np.arange(len(cells)), cells)
-                both, total = one.copy(), mass.copy()
+                both = one.copy()
                 for k in range(1, reach):  # a passage is reach cells of one document
                     same = doc[k:] == doc[:-k]
                     both[:-k][same] += one[k:][same]
-                    total[:-k][same] += mass[k:][same]
-                live = np.flatnonzero(total > 0)
+                length = np.linalg.norm(both, axis=1)
+                live = np.flatnonzero(length > 0)
                 found_cell, found_piece, found_cos = [], [], []
-                for lo in range(0, len(live), 4096):
-                    mine = live[lo : lo + 4096]
-                    cos = (both[mine] @ asked.T) / np.sqrt(total[mine])[:, None]
+                for lo in range(0, len(live), rows_in_step):
+                    mine = live[lo : lo + rows_in_step]
+                    cos = (both[mine] @ asked.T) / length[mine][:, None]
                     a, b = np.nonzero(cos >= cosine)
                     found_cell.append(mine[a])
                     found_piece.append(b)
@@ -334,8 +337,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
 
     Null doc_ids, item_ids and texts, and texts without a letter or digit, match nothing. Repeated rows of a
     document or an item are one. A piece all of whose words are in over STOP_SHARE of passages is not searched
-    for. An empty docs or benchmark gives no rows. rank should be no less than the number of pieces; with fewer
-    dimensions, search is approximate.
+    for. An empty docs or benchmark gives no rows. The cosine is that of the two vectors' projections, so a copy
+    of a piece keeps a high one when there are more pieces than dimensions.
     """
     spark = docs.sparkSession
     bench = prepare(benchmark)

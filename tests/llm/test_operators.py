@@ -386,6 +386,20 @@ def test_paraphrases_are_found_and_others_left(spark, documents, benchmark):
     assert 10**9 in got and 10**9 + 1 not in got
 
 
+def test_copies_are_found_with_thousands_of_pieces(spark, documents):
+    rng = np.random.default_rng(7)
+    texts = [(r["doc_id"], w) for r in documents.orderBy("doc_id").collect() if len(w := (r["text"] or "").split(" ")) > 80]
+    items, want = [], set()
+    for k in range(2400):
+        doc_id, w = texts[k % len(texts)]
+        n = int(rng.integers(25, 60))
+        at = int(rng.integers(0, len(w) - n))
+        items.append((k, " ".join(w[at : at + n])))
+        want.add((doc_id, k))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(documents, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_decontamination_odd_rows(spark, benchmark):
     odd_items = benchmark.unionByName(spark.createDataFrame([(None, "x y"), (5000, None), (5001, ""), (5002, "?!")], "item_id long, text string"))
     assert not rows(decontam.leaks(docs_of(spark, ODD, extra=True), odd_items))
