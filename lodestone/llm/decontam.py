@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import U64, drop_ids, text_steps, words, written
 
 #: Words of a passage and of the step between passages; latent dimensions and the extra ones of the sketch;
-#: words in more than this share of passages weigh nothing; least cosine of a candidate.
-WINDOW, STEP, RANK, EXTRA, STOP_SHARE, COSINE, SEED = 48, 24, 240, 16, 0.02, 0.3, 11
+#: least cosine of a candidate.
+WINDOW, STEP, RANK, EXTRA, COSINE, SEED = 48, 24, 240, 16, 0.3, 11
 #: Share of a piece's words in its longest common subsequence with the passage: enough alone, or enough if the
 #: answer's is at least ANSWER. Pieces under SHORT words must be there whole.
 SURE, LIKELY, ANSWER, SHORT, PIECE = 0.75, 0.5, 0.8, 8, 60
@@ -133,14 +133,12 @@ def _frequency(size: int):
 
 
 def weights(numbered: DataFrame, size: int) -> tuple[int, np.ndarray]:
-    """The number of passages (of STEP words, side by side) and the inverse document frequency of each word, over all of them."""
+    """The number of passages (of STEP words, side by side) and the inverse document frequency of each word, above 0, over all of them."""
     rows = numbered.select("ids").mapInArrow(_frequency(size), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(size + 1, np.float64)
     total[rows["cell"].to_numpy() + 1] = rows["n"].to_numpy()
     n, df = total[0], total[1:]
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
-    idf[df > max(STOP_SHARE * n, 5)] = 0
-    return int(n), idf
+    return int(n), np.log((n + 1) / (df + 1)) + 1e-3
 
 
 #: Cells of a block of a matrix on its way between tasks, and tasks whose matrices are added first.
@@ -296,6 +294,8 @@ def _searcher(bench: Bench, weight: np.ndarray, space: np.ndarray, cosine: float
                     both[:-k][same] += one[k:][same]
                 length = np.linalg.norm(both, axis=1)
                 live = np.flatnonzero(length > 0)
+                if not len(live):
+                    continue
                 found_cell, found_piece, found_cos = [], [], []
                 for lo in range(0, len(live), rows_in_step):
                     mine = live[lo : lo + rows_in_step]
@@ -336,8 +336,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
     in a document the one with the greatest share counts (then cosine, then the earliest).
 
     Null doc_ids, item_ids and texts, and texts without a letter or digit, match nothing. Repeated rows of a
-    document or an item are one. A piece all of whose words are in over STOP_SHARE of passages is not searched
-    for. An empty docs or benchmark gives no rows. The cosine is that of the two vectors' projections, so a copy
+    document or an item are one. A word weighs something however many passages have it, so a piece that is
+    everywhere is searched for like others. An empty docs or benchmark gives no rows. The cosine is that of the two vectors' projections, so a copy
     of a piece keeps a high one when there are more pieces than dimensions.
     """
     spark = docs.sparkSession

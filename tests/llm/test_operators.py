@@ -400,6 +400,16 @@ def test_copies_are_found_with_thousands_of_pieces(spark, documents):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_an_item_that_is_everywhere_is_found_everywhere(spark, documents, benchmark):
+    item = "which of the two is the one that they said it was when he had come to us at the end of it"
+    one = spark.createDataFrame([(9000, item)], "item_id long, text string")
+    for n in (5, 6, 40):
+        assert decontam.leaks(docs_of(spark, [(k, item, "en", "s", 1) for k in range(n)]), one).count() == n
+    leaked = documents.selectExpr("doc_id", f"concat(text, ' {item}. ', text) AS text")
+    got = {r["doc_id"] for r in decontam.leaks(leaked, benchmark.unionByName(one)).where("item_id = 9000").collect()}
+    assert len(got) >= 0.9 * documents.count()
+
+
 def test_decontamination_odd_rows(spark, benchmark):
     odd_items = benchmark.unionByName(spark.createDataFrame([(None, "x y"), (5000, None), (5001, ""), (5002, "?!")], "item_id long, text string"))
     assert not rows(decontam.leaks(docs_of(spark, ODD, extra=True), odd_items))
