@@ -1,41 +1,38 @@
-"""Substring dedup by hashing lines: repeated runs of sentence-like units are kept where they come first.
+"""Substring dedup by hashing paragraphs: what repeats stays where it comes first and goes everywhere else.
 
 A unit ends with a line, after ".", "!" or "?" with white space, and before a capital after white space, so a
-passage that was set into other text still begins and ends with units of its own. A unit's digest covers its
+passage that was set into other text still begins and ends with units of its own. A paragraph begins at every
+unit that has a word and takes in the units that follow until it has MIN_WORDS words. Its digest covers its
 lower-case words alone. Digests are grouped over all documents; what is not the first occurrence is repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import U64, mix, powers, text_steps, words
 
 #: Stands for "no keeper" beside doc_ids.
 NO_KEEPER = np.iinfo(np.int64).min
-#: A run of repeated units goes if its units of at least UNIT_WORDS words have so many words in all: shorter runs,
-#: and runs of very short units such as single words, repeat by chance in clean text.
-MIN_WORDS, UNIT_WORDS = 25, 4
+#: Words of a paragraph, the least that is ever compared. Every word of it counts, however short its units are, and
+#: it must stand in one earlier document as it stands here. 1 removes every repeated unit, chance ones included.
+MIN_WORDS = 20
 
-_BASE = 0xD6E8FEB86659FD93
-_UNBASE = pow(_BASE, -1, 1 << 64)
+_BASE, _BASE2 = 0xD6E8FEB86659FD93, 0xA24BAED4963EE407
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 13, 32]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, digest, words) of each unit; digests of units without a word are 0."""
+def _unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(U64), none
     blank = _BLANK[data]
     upper = (data >= 65) & (data <= 90)
     upper[:-1] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
@@ -48,80 +45,117 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before = np.searchsorted(full, after) - 1  # the last byte before the white space
     ok = before >= 0
     begins[after[ok][_STOP[data[full[before[ok]]]]]] = True
-    start = np.flatnonzero(begins)
-    row = np.searchsorted(offsets, start, side="right") - 1
-    h, _, at, _ = words(data, offsets)
-    bound = np.append(np.searchsorted(at, start), len(at))
-    count = np.diff(bound)
-    up, down = powers(_BASE, len(h) + 1), powers(_UNBASE, len(h) + 1)
+    return np.flatnonzero(begins)
+
+
+@dataclass
+class Paragraphs:
+    """Units of a run of rows (row, first byte, words) and the paragraph that begins at each: the unit after its last,
+    its first word and number of words, its digests; whether there is one at all."""
+
+    row: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    stop: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    digest: np.ndarray
+    second: np.ndarray
+    some: np.ndarray
+
+
+def _ranges(h: np.ndarray, base: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial digest of each range of words, the same wherever it stands."""
+    up, down = powers(base, len(h) + 1), powers(pow(base, -1, 1 << 64), len(h) + 1)
     total = np.zeros(len(h) + 1, U64)
     np.cumsum(h * up[:-1], out=total[1:])
-    digest = mix((total[bound[1:]] - total[bound[:-1]]) * down[bound[:-1]]) ^ mix(count.astype(U64))
-    return row, start, np.where(count > 0, digest, U64(0)), count
+    return mix((total[end] - total[begin]) * down[begin]) ^ mix((end - begin).astype(U64))
 
 
-def _first(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    """Whether a unit is its row's first with that digest."""
-    order = np.lexsort((np.arange(len(row)), digest, row))
-    out = np.ones(len(row), bool)
-    same = (digest[order][1:] == digest[order][:-1]) & (row[order][1:] == row[order][:-1])
-    out[order[1:][same]] = False
-    return out
-
+def paragraphs(data: np.ndarray, offsets: np.ndarray, min_words: int) -> Paragraphs:
+    none = np.zeros(0, np.int64)
+    if not len(data):
+        return Paragraphs(none, none, none, none, none, none, none.astype(U64), none.astype(np.int32), none.astype(bool))
+    start = _unit_starts(data, offsets)
+    row = np.searchsorted(offsets, start, side="right") - 1
+    h, _, at, _ = words(data, offsets)
+    bound = np.append(np.searchsorted(at, start), len(at))
+    count = np.diff(bound)
+    last = np.searchsorted(at, offsets[1:])[row]  # the word after the document's last
+    need = bound[:-1] + max(min_words, 1)
+    some = (count > 0) & (need <= last)
+    stop = np.searchsorted(bound, need)
+    stop = np.where(some, stop, np.arange(len(start)))
+    end = bound[stop]
+    first = bound[:-1]
+    digest = _ranges(h, _BASE, first, np.where(some, end, first))
+    second = _ranges(mix(h ^ U64(0x9E3779B97F4A7C15)), _BASE2, first, np.where(some, end, first))
+    return Paragraphs(row, start, count, stop, first, end - first, digest, (second >> U64(32)).astype(np.uint32).view(np.int32), some)
+
+
+def _own(p: Paragraphs) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a paragraph is its row's first with its digest, and whether it repeats an earlier one of its row that ends before it begins."""
+    live = np.flatnonzero(p.some)
+    order = live[np.lexsort((live, p.digest[live], p.row[live]))]
+    first, again = np.zeros(len(p.row), bool), np.zeros(len(p.row), bool)
+    if len(order):
+        new = np.append(True, (p.digest[order][1:] != p.digest[order][:-1]) | (p.row[order][1:] != p.row[order][:-1]))
+        leader = order[new][np.cumsum(new) - 1]
+        first[order[new]] = True
+        again[order] = p.at[order] >= p.at[leader] + p.size[leader]
+    return first, again
+
+
+def _emitter(min_words: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in text_steps(batch.column(1)):
+                p = paragraphs(data, offsets, min_words)
+                mine = np.flatnonzero(_own(p)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(p.digest[mine].view(np.int64)), pa.array(p.second[mine]), batch.column(0).take(pa.array(first + p.row[mine]))], ["digest", "second", "doc_id"])
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, data, offsets in text_steps(batch.column(1)):
-            row, _, digest, count = units(data, offsets)
-            mine = np.flatnonzero((count > 0) & _first(row, digest))
-            yield pa.RecordBatch.from_arrays([pa.array(digest[mine].view(np.int64)), batch.column(0).take(pa.array(first + row[mine]))], ["digest", "doc_id"])
+    return emit
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray, lists: list, min_words: int) -> tuple[list[bytes], list[str], list[list[int]], list[int]]:
-    row, start, digest, count = units(data, offsets)
-    first = _first(row, digest)
-    edge = np.searchsorted(row, np.arange(len(offsets)))
+    p = paragraphs(data, offsets, min_words)
+    _, own = _own(p)
+    edge = np.searchsorted(p.row, np.arange(len(offsets)))
     chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
     texts, spans, kept, gone = [], [], [], []
     for i in range(len(offsets) - 1):
         a, b = edge[i], edge[i + 1]
         lo, hi = int(offsets[i]), int(offsets[i + 1])
-        text = data[lo:hi]
-        again = (count[a:b] > 0) & ~first[a:b]
-        keeper = None
+        text, again, ids = data[lo:hi], own[a:b], []
         if lists[i] is not None:
-            known, owners = lists[i]
+            known, second, owners = lists[i]
             order = np.argsort(known, kind="stable")
-            known, owners = known[order], owners[order]
-            at = np.minimum(np.searchsorted(known, digest[a:b]), len(known) - 1)
-            hit = (known[at] == digest[a:b]) & (count[a:b] > 0)
-            keeper = np.where(hit, owners[at], NO_KEEPER)
-            again |= hit
+            known, second, owners = known[order], second[order], owners[order]
+            at = np.minimum(np.searchsorted(known, p.digest[a:b]), len(known) - 1)
+            hit = (known[at] == p.digest[a:b]) & (second[at] == p.second[a:b]) & p.some[a:b]
+            ids = np.unique(owners[at[hit]]).tolist()
+            again = again | hit
         if not again.any():
             texts.append(text.tobytes())
             spans.append("")
             kept.append([])
             gone.append(0)
             continue
-        change = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
-        begin, end = change[::2], change[1::2]
-        total = np.append(0, np.cumsum(count[a:b]))
-        weighty = np.append(0, np.cumsum(np.where(count[a:b] >= UNIT_WORDS, count[a:b], 0)))
-        much = weighty[end] - weighty[begin] >= min_words
-        begin, end = begin[much], end[much]
-        byte = np.append(start[a:b], hi)
+        cover = np.zeros(b - a + 1, np.int64)
+        np.add.at(cover, np.flatnonzero(again), 1)
+        np.add.at(cover, p.stop[a:b][again] - a, -1)
+        goes = np.cumsum(cover)[:-1] > 0
+        change = np.flatnonzero(np.diff(np.concatenate([[0], goes.astype(np.int8), [0]])))
+        byte = np.append(p.start[a:b], hi)
         stays = np.ones(len(text), bool)
-        ids: set[int] = set()
         mine = []
-        for p, q in zip(begin.tolist(), end.tolist()):
-            stays[byte[p] - lo : byte[q] - lo] = False
-            mine.append(f"{chars[byte[p]] - chars[lo]}:{chars[byte[q]] - chars[lo]}")
-            if keeper is not None:
-                ids.update(np.unique(keeper[p:q][keeper[p:q] != NO_KEEPER]).tolist())
+        for x, y in zip(change[::2].tolist(), change[1::2].tolist()):
+            stays[byte[x] - lo : byte[y] - lo] = False
+            mine.append(f"{chars[byte[x]] - chars[lo]}:{chars[byte[y]] - chars[lo]}")
         texts.append(text[stays].tobytes())
         spans.append(",".join(mine))
-        kept.append(sorted(ids))
-        gone.append(int((total[end] - total[begin]).sum()))
+        kept.append(ids)
+        gone.append(int(p.count[a:b][goes].sum()))
     return texts, spans, kept, gone
 
 
@@ -130,13 +164,13 @@ def _cleaner(min_words: int):
         for batch in batches:
             found = batch.column(2)
             size = found.offsets.to_numpy()
-            known = found.values.field("digest").to_numpy().view(U64) if len(found.values) else np.zeros(0, U64)
-            keep = found.values.field("keep").to_numpy() if len(found.values) else np.zeros(0, np.int64)
+            field = lambda name, kind: found.values.field(name).to_numpy() if len(found.values) else np.zeros(0, kind)  # noqa: B023, E731
+            known, second, keep = field("digest", np.int64).view(U64), field("second", np.int32), field("keep", np.int64)
             null, no_text = found.is_null().to_numpy(zero_copy_only=False), batch.column(1).is_null().to_numpy(zero_copy_only=False)
             no_id = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for first, data, offsets in text_steps(batch.column(1)):
                 n = len(offsets) - 1
-                lists = [None if null[k] or size[k] == size[k + 1] else (known[size[k] : size[k + 1]], keep[size[k] : size[k + 1]]) for k in range(first, first + n)]
+                lists = [None if null[k] or size[k] == size[k + 1] else tuple(x[size[k] : size[k + 1]] for x in (known, second, keep)) for k in range(first, first + n)]
                 texts, spans, kept, gone = _cut(data, offsets, lists, min_words)
                 for i in np.flatnonzero(no_id[first : first + n]):
                     texts[i], spans[i], kept[i], gone[i] = data[offsets[i] : offsets[i + 1]].tobytes(), "", [], 0
@@ -150,52 +184,62 @@ def _cleaner(min_words: int):
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text, removed_spans, kept_doc_ids, removed_words) for each row of docs, text without its repeated runs.
+    """(doc_id, text, removed_spans, kept_doc_ids, removed_words) for each row of docs, text without what it repeats.
 
-    docs has doc_id and text; other columns are ignored. A unit is repeated if a smaller doc_id has it anywhere
-    or its own text has it further up; a run of neighbouring repeated units goes if its units of
-    UNIT_WORDS words and more have min_words words in all. removed_spans lists the "start:end" ranges of characters of the original text that went, comma
-    separated; kept_doc_ids are the documents, ascending, that keep what went (the document itself is not named).
+    docs has doc_id and text; other columns are ignored. A paragraph (min_words words and the rest of their last
+    unit) is repeated if a smaller doc_id has it anywhere, or its own text has it further up, not overlapping it.
+    The units of every repeated paragraph go. Units without a word, such as blank lines and rules, are no part of
+    what is compared: inside a repeated passage they go with it. removed_spans lists the "start:end" ranges of
+    characters of the original text that went, comma separated; kept_doc_ids are the smallest doc_ids, ascending,
+    that have the paragraphs that went (the document itself is not named).
 
     A null text stays null; a null doc_id has no rank, so that row stays as it is and counts for nobody. Rows
-    that share a doc_id are one document: they don't repeat each other. Empty texts stay empty. Texts are read
-    whole, however long. An empty table gives no rows.
+    that share a doc_id are one document: they don't repeat each other. Empty texts, and those of fewer than
+    min_words words, stay as they are. Texts are read whole, however long. An empty table gives no rows. Two
+    digests of 64 and 32 bits decide, independent of each other; words are not compared again.
 
-    Digests are shuffled once, without text, and joined to their own grouping in the same exchange, so a digest
-    that is everywhere streams through its task and is never collected; what goes is then joined to the texts.
+    Digests are computed and shuffled once, without text; the earliest owner comes from a sorted window in the same
+    exchange, which spills and never collects, so a digest that is everywhere streams through its task. What
+    repeats is then joined to the texts.
     """
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    digests = some.mapInArrow(_emit, "digest long, doc_id long").repartition("digest")
-    keep = digests.groupBy("digest").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last").select("digest", "keep")
-    repeated = digests.join(keep.hint("shuffle_hash"), "digest").where("doc_id > keep")
-    of_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "keep")).alias("found"))
-    joined = docs.select("doc_id", "text").join(of_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found")
+    digests = some.mapInArrow(_emitter(min_words), "digest long, second int, doc_id long")
+    owner = F.first("doc_id").over(Window.partitionBy("digest", "second").orderBy("doc_id"))
+    repeated = digests.withColumn("keep", owner).where("doc_id > keep").distinct()
+    of_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "second", "keep")).alias("found"))
+    joined = docs.select("doc_id", "text").join(of_doc, "doc_id", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_cleaner(min_words), "doc_id long, text string, removed_spans string, kept_doc_ids array<long>, removed_words long")
 
 
-ORACLE = rf"""
+def oracle(min_words: int = MIN_WORDS) -> str:
+    return rf"""
 WITH s AS (
   SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.!?][ \t\r]+|\n)', '\1' || chr(30), 'g'),
-    '([ \t])([A-ZÀ-ÖØ-Þ])', '\1' || chr(30) || '\2', 'g'), chr(30)) AS units FROM documents),
+    '([ \t])([A-ZÀ-ÖØ-Þ])', '\1' || chr(30) || '\2', 'g'), chr(30)) AS units,
+    string_split(trim(regexp_replace(lower(text), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')), ' ') AS word FROM documents),
 u AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS idx FROM s WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 n AS (
-  SELECT doc_id, idx, unit, trim(regexp_replace(lower(unit), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) AS norm,
-    coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM u),
-f AS (
-  SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words,
-    min(doc_id) OVER (PARTITION BY norm) AS keep,
-    row_number() OVER (PARTITION BY doc_id, norm ORDER BY idx) AS nth FROM n),
-g AS (SELECT *, norm <> '' AND (doc_id > keep OR nth > 1) AS again FROM f),
-h AS (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM g),
-r AS (
-  SELECT doc_id, island, min(pos0) AS a, max(pos0 + length(unit)) AS b, sum(words) AS words,
-    list(keep) FILTER (WHERE keep < doc_id) AS keeps FROM h WHERE again GROUP BY doc_id, island HAVING sum(CASE WHEN words >= {UNIT_WORDS} THEN words ELSE 0 END) >= {MIN_WORDS}),
-gone AS (SELECT h.* FROM h JOIN r USING (doc_id, island) WHERE again),
-kept AS (
-  SELECT h.doc_id, string_agg(h.unit, '' ORDER BY h.idx) AS text FROM h LEFT JOIN gone USING (doc_id, idx) WHERE gone.doc_id IS NULL GROUP BY h.doc_id),
-d AS (
-  SELECT doc_id, string_agg(a::BIGINT::VARCHAR || ':' || b::BIGINT::VARCHAR, ',' ORDER BY a) AS removed_spans,
-    list_sort(list_distinct(flatten(list(coalesce(keeps, []))))) AS kept_doc_ids, sum(words)::BIGINT AS removed_words FROM r GROUP BY doc_id)
+  SELECT doc_id, idx, unit, CASE WHEN trim(regexp_replace(lower(unit), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(lower(unit), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')), ' ')) END AS words FROM u),
+c AS (
+  SELECT *, sum(words) OVER w AS upto, sum(words) OVER w - words AS past,
+    sum(length(unit)) OVER w - length(unit) AS pos0 FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+p AS (
+  SELECT a.doc_id, a.idx, b.idx AS last, a.past, array_to_string(list_slice(s.word, a.past::BIGINT + 1, b.upto::BIGINT), ' ') AS said, b.upto - a.past AS size
+  FROM c a ASOF JOIN (SELECT * FROM c WHERE words > 0) b ON a.doc_id = b.doc_id AND a.past + {min_words} <= b.upto
+  JOIN (SELECT * FROM s WHERE doc_id IS NOT NULL AND text IS NOT NULL) s ON s.doc_id = a.doc_id WHERE a.words > 0),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY said) AS keep, min(past) OVER (PARTITION BY doc_id, said) AS own FROM p),
+r AS (SELECT * FROM f WHERE doc_id > keep OR past >= own + size),
+gone AS (SELECT DISTINCT c.doc_id, c.idx FROM c JOIN r ON c.doc_id = r.doc_id AND c.idx BETWEEN r.idx AND r.last),
+h AS (
+  SELECT c.*, gone.idx IS NOT NULL AS goes FROM c LEFT JOIN gone USING (doc_id, idx)),
+i AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM h),
+g AS (SELECT doc_id, island, min(pos0)::BIGINT AS a, max(pos0 + length(unit))::BIGINT AS b, sum(words) AS words FROM i WHERE goes GROUP BY doc_id, island),
+kept AS (SELECT doc_id, string_agg(unit, '' ORDER BY idx) FILTER (WHERE NOT goes) AS text FROM h GROUP BY doc_id),
+d AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans, sum(words)::BIGINT AS removed_words FROM g GROUP BY doc_id),
+k AS (SELECT doc_id, list_sort(list(DISTINCT keep)) AS kept_doc_ids FROM r WHERE keep < doc_id GROUP BY doc_id)
 SELECT s.doc_id, CASE WHEN d.doc_id IS NULL THEN s.text ELSE coalesce(kept.text, '') END AS text, coalesce(removed_spans, '') AS removed_spans,
   coalesce(kept_doc_ids, []::BIGINT[]) AS kept_doc_ids, coalesce(removed_words, 0)::BIGINT AS removed_words
-FROM s LEFT JOIN d ON s.doc_id = d.doc_id LEFT JOIN kept ON s.doc_id = kept.doc_id"""
+FROM s LEFT JOIN d ON s.doc_id = d.doc_id LEFT JOIN k ON s.doc_id = k.doc_id LEFT JOIN kept ON s.doc_id = kept.doc_id"""
+
+
+ORACLE = oracle()

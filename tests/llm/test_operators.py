@@ -245,6 +245,28 @@ def test_a_passage_inside_other_text_goes_where_it_comes_again(spark):
     assert not rows(substring.remove_repeats(docs_of(spark, [])))
 
 
+def test_every_word_of_a_passage_counts_whatever_its_lines(spark):
+    names = " ".join(f"Name{i}" for i in range(30))  # thirty units of one word
+    verse = "\n\n".join(f"one little line of verse number {k} ends" for k in range(9))
+    data = [(1, f"Some beginning here.\n{names}\n", "en", "s", 1), (2, f"Quite another start.\n{names}\nAnd end", "en", "s", 1)]
+    data += [(3, f"A third one.\n{verse}\nEnd.", "en", "s", 1), (4, f"A fourth.\n\n{verse}\n\nOther.", "en", "s", 1)]
+    data += [(5, "Name3 Name9 Name1 were alone. " * 1 + "one little line of verse number 3 ends", "en", "s", 1)]  # chance repeats stay
+    got = {r["doc_id"]: r for r in substring.remove_repeats(docs_of(spark, data)).collect()}
+    assert got[1]["removed_words"] == 0 and got[2]["removed_words"] == 30 and got[2]["text"] == "Quite another start.\nAnd end" and got[2]["kept_doc_ids"] == [1]
+    assert got[4]["text"].split() == ["A", "fourth.", "Other."] and got[4]["kept_doc_ids"] == [3]
+    assert got[5]["removed_words"] == 0
+    loose = {r["doc_id"]: r for r in substring.remove_repeats(docs_of(spark, data), min_words=1).collect()}
+    assert loose[5]["text"] == "Name1 were alone. "
+
+
+def test_a_text_that_repeats_itself_keeps_the_first(spark, duck):
+    line = " ".join(f"w{i}" for i in range(24)) + ".\n"
+    data = [(9, line * 3 + "end", "en", "s", 1), (9, line * 3 + "end", "en", "s", 1), (11, line, "en", "s", 1), (8, "Ab. " * 100, "en", "s", 1)]
+    got = {r["doc_id"]: r for r in substring.remove_repeats(docs_of(spark, data)).collect()}
+    assert got[9]["text"] == line + "end" and got[9]["kept_doc_ids"] == [] and got[11]["text"] == "" and got[11]["kept_doc_ids"] == [9]
+    assert got[8]["text"] == "Ab. " * 20
+
+
 # quality
 
 
