@@ -19,10 +19,12 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one where none is set and this machine is all there is."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
@@ -192,7 +194,7 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(rounds):
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("h")).first()
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now["n"] == 0 or now == before:
             break
         before = now

@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import U64, connected_components, cut, drop_ids, mix, text_steps, words, written
 
 BITS, THRESHOLD = 128, 16
-#: Cost of an emitted row and of a verified candidate, in microseconds, for the dynamic program.
-ROW_US, CANDIDATE_US = 2.0, 0.02
+#: Costs for the dynamic program, in microseconds: of a row of a ball made and sorted, of one sent through the
+#: exchange, and of a candidate pair held against the threshold.
+ROW_US, SEND_US, CANDIDATE_US = 1.3, 1.0, 0.05
 SMALL_BUCKET = 48
-#: Bits of a partition's value that don't decide which task a row goes to.
-LOW_BITS = 10
-#: Partitions and thresholds are chosen as if there were at least so many signatures, so that the search works
-#: alike at every size: a plan for a small table probes narrow partitions, whose candidates grow as its square.
-DESIGN_ROWS = 1 << 24
+#: The bits of a partition's value that decide which task a row goes to: MIN_KEY at least, and as many more as it
+#: takes to leave about 2 ** ROWS_A_KEY signatures to each key. Neighbours in the other bits are made behind the exchange.
+MIN_KEY, ROWS_A_KEY = 6, 14
+#: Nodes that a task's union-find holds before it starts afresh (which only sends some edges again).
+FOREST_NODES = 1 << 20
 
 
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +130,22 @@ def _within(disagree: np.ndarray) -> np.ndarray:
     return np.cumsum(p)
 
 
-def allocate(second: np.ndarray, threshold: int = THRESHOLD) -> tuple[list[list[int]], list[int]]:
-    """Partitions of bits and their thresholds, of least estimated cost over all numbers of partitions."""
-    n = second[-1, -1]
-    mean = second[-1, :-1] / max(n, 1)
-    n = max(n, DESIGN_ROWS)
+def _ball(width: int, radius: int) -> int:
+    return sum(comb(width, k) for k in range(radius + 1))
+
+
+def key_bits(width: int, n: float) -> int:
+    return min(width, max(MIN_KEY, int(np.ceil(np.log2(max(n, 2)))) - ROWS_A_KEY))
+
+
+def allocate(second: np.ndarray, threshold: int = THRESHOLD, n: float | None = None) -> tuple[list[list[int]], list[int]]:
+    """Partitions of bits and their thresholds, of least estimated cost over all numbers of partitions.
+
+    Candidates are estimated for n signatures (those of second, unless given) from how often each bit is set. A
+    partition's bits are ordered by balance, those nearest to even last.
+    """
+    mean = second[-1, :-1] / max(second[-1, -1], 1)
+    n = max(second[-1, -1] if n is None else n, 1)
     disagree, best = 2 * mean * (1 - mean), None
     for parts in range(3, threshold + 2):
         groups = group_bits(second, parts)
@@ -141,10 +153,9 @@ def allocate(second: np.ndarray, threshold: int = THRESHOLD) -> tuple[list[list[
         for g in groups:
             within, w, own = _within(disagree[g]), len(g), [(-1, 0.0)]
             for r in range(3):
-                rows = sum(comb(w, k) for k in range(r + 1))
-                repeats = comb(2 * r, r)
-                pairs = n * n / 2 * within[min(2 * r, w)] * repeats
-                own.append((2 * r, n * rows * ROW_US + pairs * CANDIDATE_US))
+                rows = _ball(w, r) * ROW_US + _ball(key_bits(w, n), r) * SEND_US
+                pairs = n * n / 2 * within[min(2 * r, w)] * comb(2 * r, r)
+                own.append((2 * r, n * rows + pairs * CANDIDATE_US))
             options.append(own)
         need = threshold + 1
         least = {0: (0.0, ())}
@@ -158,23 +169,24 @@ def allocate(second: np.ndarray, threshold: int = THRESHOLD) -> tuple[list[list[
             least = now
         if need in least and (best is None or least[need][0] < best[0]):
             best = (least[need][0], groups, list(least[need][1]))
-    return best[1], best[2]
+    even = np.abs(mean - 0.5)
+    return [sorted(g, key=lambda b: (-even[b], b)) for g in best[1]], best[2]
 
 
 def _masks(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)], dtype=np.int64)
 
 
-def _emitter(groups: list[list[int]], thresholds: list[int]):
-    """Rows (ball, node, s1, s2): of a value's ball only what differs in its high bits, with the radius left for the low ones."""
+def _emitter(groups: list[list[int]], thresholds: list[int], keys: list[int]):
+    """Rows (ball, node, s1, s2): of a value's ball only what differs in its key bits, with the radius left for the others."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = []
-        for i, (g, t) in enumerate(zip(groups, thresholds)):
+        for i, (g, t, k) in enumerate(zip(groups, thresholds, keys)):
             if t >= 0:
-                high = _masks(max(len(g) - LOW_BITS, 0), t // 2)
+                high = _masks(k, t // 2)
                 left = np.int64(t // 2) - np.bitwise_count(high)
-                probes.append((np.array(g), high << LOW_BITS, (np.int64(i) << np.int64(57)) | (left << np.int64(55))))
+                probes.append((np.array(g), high << (len(g) - k), (np.int64(i) << np.int64(57)) | (left << np.int64(55))))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -215,6 +227,10 @@ class _Forest:
                     out.append((y, x))
         return out
 
+    def bound(self) -> None:
+        if len(self.up) > FOREST_NODES:
+            self.up.clear()
+
 
 def _distance(a1, a2, b1, b2) -> np.ndarray:
     return np.bitwise_count(a1 ^ b1).astype(np.int16) + np.bitwise_count(a2 ^ b2)
@@ -277,6 +293,7 @@ def _bucketer(threshold: int):
                 near = near[d <= threshold]
                 a, b = node[near], node[near + step]
                 out += forest.add(a[a != b], b[a != b])
+            forest.bound()
             return out
 
         def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -302,14 +319,18 @@ def _bucketer(threshold: int):
 
 def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(src, dst) edges that connect every two nodes of distinct(node, s1, s2) within the threshold, and no others."""
-    groups, thresholds = allocate(moments(distinct), threshold)
-    balls = distinct.select("node", "s1", "s2").mapInArrow(_emitter(groups, thresholds), "ball long, node long, s1 long, s2 long")
-    value = F.col("ball").bitwiseAND(~(3 << 55))
+    second = moments(distinct)
+    groups, thresholds = allocate(second, threshold)
+    keys = [key_bits(len(g), second[-1, -1]) for g in groups]
+    balls = distinct.select("node", "s1", "s2").mapInArrow(_emitter(groups, thresholds, keys), "ball long, node long, s1 long, s2 long")
+    value, part = F.col("ball").bitwiseAND(~(3 << 55)), F.shiftright("ball", 57)
     left = F.shiftright("ball", 55).bitwiseAND(3)
-    low = [F.array(*(F.lit(int(m)).cast("bigint") for m in _masks(LOW_BITS, r))) for r in range(3)]
-    flips = F.explode(F.when(left == 0, low[0]).when(left == 1, low[1]).otherwise(low[2])).alias("flip")
-    # a value's neighbours in its low bits share its high bits, so they are made behind the exchange
-    rows = balls.repartition(F.shiftright(value, LOW_BITS)).select(value.alias("value"), flips, "node", "s1", "s2")
+    low = [len(g) - k for g, k in zip(groups, keys)]
+    shift = F.element_at(F.array(*map(F.lit, low)), part.cast("int") + 1)
+    # a value's neighbours in its low bits share its key bits, so they are made behind the exchange
+    flips = F.array(*(F.array(*(F.lit(int(m)).cast("bigint") for m in _masks(w, r))) for w in low for r in range(3)))
+    flip = F.explode(F.element_at(flips, (part * 3 + left).cast("int") + 1)).alias("flip")
+    rows = balls.repartition(part, F.call_function("shiftright", value, shift)).select(value.alias("value"), flip, "node", "s1", "s2")
     keyed = rows.select(F.col("value").bitwiseXOR(F.col("flip")).alias("key"), "node", "s1", "s2")
     return keyed.sortWithinPartitions("key").mapInArrow(_bucketer(threshold), "src long, dst long")
 

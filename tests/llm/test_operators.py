@@ -183,12 +183,42 @@ def brute_groups(ids, sigs, some, threshold):
     return {int(i): forest.root(int(i)) for i in ids if forest.root(int(i)) != i}
 
 
+def plain_signature(text):
+    """A signature by integers alone: words by a regular expression, bits by counting; None without words."""
+    import re
+
+    whole, base = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+
+    def mixed(h):
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & whole
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & whole
+        return h ^ (h >> 31)
+
+    lower = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text)
+    found = {w.encode() for w in re.findall("[0-9a-z\x80-\U0010ffff]+", lower)}
+    votes = [0] * 128
+    seen = {mixed(sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) & whole) >> 20 for w in found}
+    for h in map(mixed, seen):
+        raw = mixed(h).to_bytes(8, "little") + mixed((h + 0x9E3779B97F4A7C15) & whole).to_bytes(8, "little")
+        for k in range(128):
+            votes[k] += raw[k // 8] >> (7 - k % 8) & 1
+    return sum(1 << k for k in range(128) if 2 * votes[k] > len(seen)) if seen else None
+
+
 def test_near_duplicates_match_brute_force(spark, documents):
+    """Signatures, distances and groups all made anew, from the operator's docstring."""
     pdf = documents.select("doc_id", "text").toPandas().sort_values("doc_id")
-    sigs, some = simhash.signatures(pa.array(pdf["text"].tolist()))
-    want = brute_groups(pdf["doc_id"].to_numpy(), sigs, some, simhash.THRESHOLD)
-    got = {r["doc_id"]: r["kept_doc_id"] for r in simhash.near_duplicates(documents).collect()}
-    assert got == want and got
+    signed = {d: s for d, t in zip(pdf["doc_id"], pdf["text"]) if (s := plain_signature(t)) is not None}
+    group = {d: d for d in signed}
+    for d in sorted(signed):
+        for other in sorted(signed):
+            if other < d and (signed[d] ^ signed[other]).bit_count() <= simhash.THRESHOLD and group[d] != group[other]:
+                gone, stays = max(group[d], group[other]), min(group[d], group[other])
+                group = {k: stays if v == gone else v for k, v in group.items()}
+    want = {d: g for d, g in group.items() if d != g}
+    got = {r["doc_id"]: (r["kept_doc_id"], r["group_size"]) for r in simhash.near_duplicates(documents).collect()}
+    assert {d: g for d, (g, _) in got.items()} == want and got
+    assert all(n == 1 + sum(g == k for k in want.values()) for g, n in got.values())
 
 
 def test_large_buckets_and_other_plans_match_brute_force(spark):
@@ -208,13 +238,36 @@ def test_large_buckets_and_other_plans_match_brute_force(spark):
     assert got == want
 
 
-def test_allocation_keeps_the_pigeonhole():
-    second = np.full((129, 129), 250.0)
-    np.fill_diagonal(second, 500.0)
-    second[-1, :], second[:, -1], second[-1, -1] = 500.0, 500.0, 1000.0
-    groups, thresholds = simhash.allocate(second)
-    assert sorted(b for g in groups for b in g) == list(range(128))
-    assert sum(t + 1 for t in thresholds) >= simhash.THRESHOLD + 1
+def test_allocation_keeps_the_pigeonhole_at_every_size(spark, documents):
+    signed = simhash.sign(documents)
+    second = simhash.moments(signed.selectExpr("doc_id AS node", "s1", "s2").dropDuplicates(["s1", "s2"]))
+    plans = {k: simhash.allocate(second, n=2.0**k) for k in range(10, 36, 3)}
+    for groups, thresholds in plans.values():
+        assert sorted(b for g in groups for b in g) == list(range(128))
+        assert sum(t + 1 for t in thresholds) >= simhash.THRESHOLD + 1
+    assert any(len(set(t)) > 1 for _, t in plans.values())  # unequal thresholds
+    made = [sum(simhash._ball(len(g), t // 2) for g, t in zip(*p) if t >= 0) for p in plans.values()]
+    assert made == sorted(made) and made[-1] < 2200
+    assert plans[10] == simhash.allocate(second, n=1024.0)
+
+
+@pytest.mark.parametrize("size", [2.0**12, 2.0**18, 2.0**22, 2.0**30])
+def test_every_plan_finds_the_same_pairs(spark, monkeypatch, size):
+    """The plans of other sizes, run on few signatures."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (40, 2)).astype(np.uint64)
+    sigs = np.repeat(base, 6, 0)
+    for k in range(len(sigs)):
+        for bit in rng.choice(128, rng.integers(0, 14), replace=False):
+            sigs[k, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    ids = np.arange(len(sigs))
+    df = spark.createDataFrame([(int(i), int(a), int(b)) for i, (a, b) in zip(ids, sigs.view(np.int64))], "node long, s1 long, s2 long")
+    whole, bits = simhash.allocate, simhash.key_bits
+    monkeypatch.setattr(simhash, "allocate", lambda second, threshold: whole(second, threshold, size))
+    monkeypatch.setattr(simhash, "key_bits", lambda width, n: bits(width, size))
+    want = brute_groups(ids, sigs, np.ones(len(ids), bool), simhash.THRESHOLD)
+    got = {a: b for a, b in rows(common.connected_components(simhash.near_pairs(df))) if a != b}
+    assert got == want and len(want) > 100
 
 
 def test_near_duplicates_odd_rows(spark):
