@@ -7,19 +7,20 @@ Document frequencies cover all documents; only the centroids are fitted on a bou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_IDS, STEP_BYTES, cut, fold, text_steps
+from lodestone.llm.common import STEP_BYTES, cut, fold, text_steps
 
 DIMS = 4096
-#: Bound of the labelled sample per language; centroids per language; rejection: this quantile of the
-#: sample's own cosine to the nearest centroid of its language, less MARGIN.
-SAMPLE_PER_LANG, CENTROIDS, QUANTILE, MARGIN, SEED = 400, 4, 0.001, 0.05, 3
+#: Bounds of the labelled sample: documents of a language, and languages, those with the most documents; centroids
+#: per language; rejection: this quantile of the sample's own cosine to the nearest centroid of its language, less MARGIN.
+SAMPLE_PER_LANG, MAX_LANGS, CENTROIDS, QUANTILE, MARGIN, SEED = 400, 256, 4, 0.001, 0.05, 3
 UNKNOWN = "und"
 
 
@@ -82,20 +83,44 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (dim, null, n) of trigrams' document frequencies, dim -1 counting documents, and (-2, lang, n) of each language's texts."""
     df, n = np.zeros(DIMS, np.int64), 0
     for batch in batches:
         for _, c in counts(batch.column(0)):
             df += (c > 0).sum(0)
             n += len(c)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS, dtype=np.int32)), pa.array(np.append(n, df))], ["dim", "n"])
+        some = pc.fill_null(pc.greater(pc.binary_length(batch.column(0)), 0), False)
+        said = pc.value_counts(batch.column(1).filter(some).drop_null())
+        if len(said):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(said), -2, np.int32)), said.field("values"), said.field("counts").cast(pa.int64())], ["dim", "lang", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS, dtype=np.int32)), pa.nulls(DIMS + 1, pa.string()), pa.array(np.append(n, df))], ["dim", "lang", "n"])
 
 
-def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of documents and of those with each trigram, over all rows."""
-    rows = docs.select("text").mapInArrow(_frequency, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).toPandas()
+def frequencies(docs: DataFrame) -> tuple[int, np.ndarray, DataFrame]:
+    """The number of documents and of those with each trigram, over all rows; and (lang, n_lang), counting texts that aren't empty."""
+    rows = cut(docs.select("text", "lang").mapInArrow(_frequency, "dim int, lang string, n long").groupBy("dim", "lang").agg(F.sum("n").alias("n")))
+    dims = rows.where("dim >= -1").select("dim", "n").toPandas()
     out = np.zeros(DIMS + 1, np.int64)
-    out[rows["dim"].to_numpy() + 1] = rows["n"].to_numpy()
-    return int(out[0]), out[1:]
+    out[dims["dim"].to_numpy() + 1] = dims["n"].to_numpy()
+    return int(out[0]), out[1:], rows.where("dim = -2").select("lang", F.col("n").alias("n_lang"))
+
+
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their trigram counts, which are of bounded size however long a text is."""
+    for batch in batches:
+        for first, c in counts(batch.column(3)):
+            at = [np.flatnonzero(x).astype("<u2") for x in c]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).slice(first, len(c)) for k in range(3)), pa.array([x.tobytes() for x in at], pa.binary()), pa.array([r[x].astype("<f4").tobytes() for r, x in zip(c, at)], pa.binary())],
+                ["lang", "doc_id", "h", "at", "count"],
+            )
+
+
+def _dense(at: Sequence[bytes], count: Sequence[bytes]) -> np.ndarray:
+    x = np.zeros((len(at), DIMS), np.float32)
+    for row, a, c in zip(x, at, count):
+        row[np.frombuffer(a, "<u2")] = np.frombuffer(c, "<f4")
+    return x
 
 
 def k_means(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 25) -> np.ndarray:
@@ -118,23 +143,22 @@ def k_means(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 25) -> np.nda
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, clusters: int = CENTROIDS) -> dict:
     """Centroids, their languages, the idf of all documents and each language's least cosine.
 
-    Languages are the distinct non-null values of docs.lang. Of each, the per_lang documents with the smallest
-    hash of doc_id are the sample.
+    Languages are the distinct non-null values of docs.lang; if they are more than MAX_LANGS, the most frequent (ties:
+    by name). Of each, the per_lang documents with a text that have the smallest hash of doc_id are the sample, sent
+    to the driver as trigram counts.
     """
-    n, df = document_frequency(docs)
+    n, df, by_lang = frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 0.1
+    rate = F.broadcast(by_lang.orderBy(F.desc("n_lang"), "lang").limit(MAX_LANGS))
     # the smallest hashes of each language: what lies under 1.5 times the rate that is needed comes to the driver
-    rate = cut(docs.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n_lang")))
-    if rate.count() <= BROADCAST_IDS:  # else a join by shuffle does the same
-        rate = F.broadcast(rate)
     under = F.lit(1.5 * per_lang * 2.0**63) / F.col("n_lang") + F.lit(1.0)
-    near = F.abs(F.xxhash64("doc_id").cast("double")) <= under
-    thin = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", "lang").join(rate, "lang").where(near)
-    rows = thin.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["lang", "h", "doc_id", "text"])
+    h = F.abs(F.xxhash64("doc_id").cast("double"))
+    thin = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", "lang").join(rate, "lang").where(h <= under)
+    rows = thin.select("lang", "doc_id", h.alias("h"), "text").mapInArrow(_sparse, "lang string, doc_id long, h double, at binary, count binary").toPandas()
     langs, centres, least = [], [], []
     for lang, part in rows.groupby("lang", sort=True):
-        part = part.assign(h=part["h"].abs()).sort_values(["h", "doc_id", "text"]).head(per_lang)
-        x = np.concatenate([vectors(c, idf) for _, c in counts(pa.array(part["text"].tolist()))])
+        part = part.sort_values(["h", "doc_id", "at", "count"]).head(per_lang)
+        x = vectors(_dense(part["at"].tolist(), part["count"].tolist()), idf)
         x = x[np.linalg.norm(x, axis=1) > 0]
         if len(x):
             c = k_means(x, clusters)
@@ -172,7 +196,7 @@ def identify(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, clusters: int = C
     """(doc_id, predicted, cosine) for each row of docs; predicted is "und" where the nearest centroid is too far.
 
     docs has doc_id, text and lang; other columns are ignored, and lang only chooses the sample for the
-    centroids, rows with a null lang none. Null and empty texts are "und" with cosine 0. Every trigram of a
+    centroids (per_lang documents of each of MAX_LANGS languages at most), rows with a null lang none. Null and empty texts are "und" with cosine 0. Every trigram of a
     text counts, however long it is. Repeated rows each get a row and each count in the document frequencies.
     Ties go to the language first in the alphabet. An empty table gives no rows; without any lang all are "und".
     """
