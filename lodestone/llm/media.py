@@ -18,8 +18,13 @@ from pyspark.sql import DataFrame
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 SIDE, LOW = 32, 8
-#: A picture that declares more pixels is not inflated.
-MAX_PIXELS = 1 << 26
+#: (first column, first row, step across, step down) of a plain picture's only pass and of the seven of an interlaced one.
+PLAIN = ((0, 0, 1, 1),)
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+#: Deflate makes no byte into more than so many; a header that promises more is not believed.
+MOST_DEFLATED = 1032
+#: Bytes of lines that are decoded at once in a picture that is too large to be held, and pixels of a line.
+BAND_BYTES, BAND_PIXELS = 1 << 22, 1 << 16
 
 
 class Bad(ValueError):
@@ -46,16 +51,18 @@ def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     raise Bad("truncated")
 
 
-def unfilter(raw: np.ndarray, kinds: np.ndarray, pixel: int) -> np.ndarray:
-    """raw: (pictures, rows, bytes) filtered lines, kinds: (pictures, rows) filters, pixel: bytes of a pixel. Returns the lines.
+def unfilter(raw: np.ndarray, kinds: np.ndarray, pixel: int, above: np.ndarray | None = None) -> np.ndarray:
+    """raw: (pictures, rows, bytes) filtered lines, kinds: (pictures, rows) filters, pixel: bytes of a pixel, above: the
+    (pictures, bytes) lines before the first, if any. Returns the lines.
 
     Pictures of one shape are done at once. Lines with the filters none, sub and up alone are whole-line
     operations. With average or Paeth lines they are swept by diagonals, on which no pixel depends on another.
     """
     pictures, rows, width = raw.shape
+    if above is None:
+        above = np.zeros((pictures, width), np.uint8)
     if not (kinds > 2).any():
         out = np.zeros(raw.shape, np.uint8)
-        above = np.zeros((pictures, width), np.uint8)
         for y in range(rows):
             line, kind = raw[:, y], kinds[:, y, None]
             along = np.add.accumulate(line.reshape(pictures, -1, pixel), axis=1, dtype=np.uint8).reshape(pictures, width)
@@ -64,6 +71,7 @@ def unfilter(raw: np.ndarray, kinds: np.ndarray, pixel: int) -> np.ndarray:
     across = width // pixel
     f = raw.reshape(pictures, rows, across, pixel)
     r = np.zeros((pictures, rows + 1, across + 1, pixel), np.int16)
+    r[:, 0, 1:] = above.reshape(pictures, across, pixel)
     for d in range(rows + across - 1):
         y = np.arange(max(0, d - across + 1), min(rows, d + 1))
         x = d - y
@@ -77,8 +85,8 @@ def unfilter(raw: np.ndarray, kinds: np.ndarray, pixel: int) -> np.ndarray:
     return r[:, 1:, 1:].astype(np.uint8).reshape(raw.shape)
 
 
-def inflate(data: bytes) -> tuple[tuple, np.ndarray | None, np.ndarray]:
-    """(header, palette, lines) with each line's filter in front; raises Bad."""
+def parse(data: bytes) -> tuple[tuple, np.ndarray | None, bytes]:
+    """(header, palette, zlib stream); raises Bad."""
     head, palette, packed = None, None, []
     for kind, body in _chunks(data):
         if kind == b"IHDR":
@@ -92,50 +100,82 @@ def inflate(data: bytes) -> tuple[tuple, np.ndarray | None, np.ndarray]:
     if head is None:
         raise Bad("bad_header")
     width, height, depth, colour, compression, filtering, interlace = head
-    if not width or not height or colour not in CHANNELS or compression or filtering or depth not in ((1, 2, 4, 8, 16) if colour == 0 else (1, 2, 4, 8) if colour == 3 else (8, 16)):
+    depths = {0: (1, 2, 4, 8, 16), 3: (1, 2, 4, 8)}.get(colour, (8, 16))
+    if not 0 < width < 1 << 31 or not 0 < height < 1 << 31 or colour not in CHANNELS or compression or filtering or interlace > 1 or depth not in depths:
         raise Bad("bad_header")
-    if interlace:
-        raise Bad("interlaced")
-    if width * height > MAX_PIXELS:
-        raise Bad("too_large")
-    channels = CHANNELS[colour]
-    line = (width * channels * depth + 7) // 8
-    stream = zlib.decompressobj()
+    return head, palette, b"".join(packed)
+
+
+def passes(head: tuple) -> list[tuple[int, int, int, int, int, int]]:
+    """(first column, first row, step across, step down, width, height) of the passes that have pixels."""
+    size = ((x, y, dx, dy, -(-(head[0] - x) // dx), -(-(head[1] - y) // dy)) for x, y, dx, dy in (ADAM7 if head[6] else PLAIN))
+    return [p for p in size if p[4] > 0 and p[5] > 0]
+
+
+def line_bytes(head: tuple, width: int) -> int:
+    return (width * CHANNELS[head[3]] * head[2] + 7) // 8
+
+
+def size_of(head: tuple) -> int:
+    """Bytes of a picture's lines with their filters."""
+    return sum(h * (line_bytes(head, w) + 1) for *_, w, h in passes(head))
+
+
+def bands(head: tuple, packed: bytes, most: int = BAND_BYTES) -> Iterator[tuple[tuple, int, np.ndarray]]:
+    """(pass, first row in the pass, lines with each line's filter in front), about most bytes at a time; raises Bad."""
+    if size_of(head) > MOST_DEFLATED * len(packed):
+        raise Bad("bad_stream")
+    stream, rest = zlib.decompressobj(), packed
     try:
-        raw = stream.decompress(b"".join(packed), height * (line + 1) + 1)
+        for step in passes(head):
+            line = line_bytes(head, step[4]) + 1
+            rows = max(1, most // line)
+            for row in range(0, step[5], rows):
+                want = min(rows, step[5] - row) * line
+                parts, have = [], 0
+                while have < want:
+                    part = stream.decompress(rest, want - have)
+                    rest = stream.unconsumed_tail
+                    if not part and (stream.eof or not rest):
+                        raise Bad("bad_stream")
+                    parts.append(part)
+                    have += len(part)
+                lines = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, line)
+                if (lines[:, 0] > 4).any():
+                    raise Bad("bad_filter")
+                yield step, row, lines
+        # the stream's own checksum stands behind the last line
+        if not stream.eof and (stream.decompress(rest, 1) or not stream.eof):
+            raise Bad("bad_stream")
     except zlib.error:
         raise Bad("bad_stream") from None
-    if len(raw) != height * (line + 1):
-        raise Bad("bad_stream")
-    if not stream.eof:
-        try:  # the stream's own checksum stands behind the last line
-            stream.decompress(stream.unconsumed_tail)
-        except zlib.error:
-            raise Bad("bad_stream") from None
-        if not stream.eof:
-            raise Bad("bad_stream")
-    lines = np.frombuffer(raw, np.uint8).reshape(height, line + 1)
-    if (lines[:, 0] > 4).any():
-        raise Bad("bad_filter")
-    return head, palette, lines
+
+
+def unfiltered(head: tuple, packed: bytes, most: int = BAND_BYTES) -> Iterator[tuple[tuple, int, np.ndarray]]:
+    """bands, without filters: each band begins with the line that the one before it ended with."""
+    above = None
+    for step, row, lines in bands(head, packed, most):
+        flat = unfilter(lines[None, :, 1:], lines[None, :, 0], pixel_bytes(head), above if row else None)
+        above = flat[:, -1]
+        yield step, row, flat[0]
 
 
 def pixel_bytes(head: tuple) -> int:
     return max(1, CHANNELS[head[3]] * head[2] // 8)
 
 
-def brightness(head: tuple, palette: np.ndarray | None, flat: np.ndarray) -> np.ndarray:
-    """(height, width) brightness from 0 to 255 of unfiltered lines, transparency on black; raises Bad."""
-    width, height, depth, colour = head[:4]
+def brightness(head: tuple, palette: np.ndarray | None, flat: np.ndarray, width: int) -> np.ndarray:
+    """(rows, width) brightness from 0 to 255 of unfiltered lines, transparency on black; raises Bad."""
+    rows, (depth, colour) = len(flat), head[2:4]
     channels = CHANNELS[colour]
     if depth == 16:
         flat = flat[:, ::2]  # the high bytes
     elif depth < 8:
-        bits = np.unpackbits(flat, axis=1).reshape(height, -1, depth)
+        bits = np.unpackbits(flat, axis=1).reshape(rows, -1, depth)
         flat = (bits @ (1 << np.arange(depth - 1, -1, -1)))[:, :width].astype(np.float64)
         if colour == 0:
             flat = flat * (255 / ((1 << depth) - 1))
-    x = flat[:, : width * channels].reshape(height, width, channels).astype(np.float64)
+    x = flat[:, : width * channels].reshape(rows, width, channels).astype(np.float64)
     if colour == 3:
         if palette is None or x.max() >= len(palette):
             raise Bad("bad_palette")
@@ -145,30 +185,53 @@ def brightness(head: tuple, palette: np.ndarray | None, flat: np.ndarray) -> np.
     return x[:, :, 0] if x.shape[2] == 1 else x @ np.array([0.299, 0.587, 0.114])
 
 
-def decode(data: bytes) -> np.ndarray:
+def decode(data: bytes, most: int = BAND_BYTES) -> np.ndarray:
     """(height, width) brightness of one picture; raises Bad."""
-    head, palette, lines = inflate(data)
-    return brightness(head, palette, unfilter(lines[None, :, 1:], lines[None, :, 0], pixel_bytes(head))[0])
+    head, palette, packed = parse(data)
+    out = np.zeros((head[1], head[0]))
+    for (x, y, dx, dy, w, _), row, flat in unfiltered(head, packed, most):
+        out[y + row * dy : y + (row + len(flat)) * dy : dy, x::dx] = brightness(head, palette, flat, w)
+    return out
 
 
-@functools.lru_cache(maxsize=256)
-def _areas(n: int) -> np.ndarray:
-    """(SIDE, n) weights that average n samples over SIDE equal stretches."""
+def _weights(cell: np.ndarray, n: int) -> np.ndarray:
+    """(SIDE, cells) shares of some of n samples in the averages over SIDE equal stretches."""
     edge = np.arange(SIDE + 1) * n / SIDE
-    cell = np.arange(n)
     overlap = np.minimum(edge[1:, None], cell[None] + 1) - np.maximum(edge[:-1, None], cell[None])
     return np.maximum(overlap, 0) * SIDE / n
 
 
+@functools.lru_cache(maxsize=256)
+def _areas(n: int) -> np.ndarray:
+    return _weights(np.arange(n), n)
+
+
+def shrink(data: bytes, most: int = BAND_BYTES) -> tuple[tuple[int, int], np.ndarray]:
+    """((height, width), SIDE x SIDE brightness) of one picture, of which a band at a time is in memory; raises Bad."""
+    head, palette, packed = parse(data)
+    small, bits = np.zeros((SIDE, SIDE)), CHANNELS[head[3]] * head[2]
+    for (x, y, dx, dy, w, _), row, flat in unfiltered(head, packed, most):
+        down = _weights(y + dy * np.arange(row, row + len(flat)), head[1])
+        for at in range(0, w, BAND_PIXELS):
+            wide = min(BAND_PIXELS, w - at)
+            part = brightness(head, palette, flat[:, at * bits // 8 : -(-(at + wide) * bits // 8)], wide)
+            small += down @ part @ _weights(x + dx * np.arange(at, at + wide), head[0]).T
+    return (head[1], head[0]), small
+
+
 _K = np.arange(LOW)[:, None]
 _DCT = np.cos(np.pi * _K * (2 * np.arange(SIDE)[None] + 1) / (2 * SIDE)) * np.where(_K == 0, np.sqrt(1 / SIDE), np.sqrt(2 / SIDE))
 
 
-def perceptual(picture: np.ndarray) -> bytes:
-    low = (_DCT @ (_areas(picture.shape[0]) @ picture @ _areas(picture.shape[1]).T) @ _DCT.T).ravel()
+def _signs(small: np.ndarray) -> bytes:
+    low = (_DCT @ small @ _DCT.T).ravel()
     return np.packbits(low > np.median(low[1:]) + 1e-6).tobytes()
 
 
+def perceptual(picture: np.ndarray) -> bytes:
+    return _signs(_areas(picture.shape[0]) @ picture @ _areas(picture.shape[1]).T)
+
+
 #: Bytes of inflated lines that are held and unfiltered at once.
 HELD_BYTES = 1 << 23
 
@@ -185,7 +248,7 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines = np.stack([g[3] for g in group])
                 for (i, head, palette, _), flat in zip(group, unfilter(lines[:, :, 1:], lines[:, :, 0], pixel)):
                     try:
-                        picture = brightness(head, palette, flat)
+                        picture = brightness(head, palette, flat, head[0])
                         size[i], hashes[i] = picture.shape, perceptual(picture)  # noqa: B023
                     except Bad as bad:
                         status[i] = str(bad)  # noqa: B023
@@ -196,7 +259,12 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 if data is None:
                     raise Bad("null")
-                head, palette, lines = inflate(bytes(data))
+                head, palette, packed = parse(bytes(data))
+                if head[6] or size_of(head) > HELD_BYTES:
+                    size[i], small = shrink(bytes(data))
+                    hashes[i] = _signs(small)
+                    continue
+                ((_, _, lines),) = bands(head, packed, HELD_BYTES)
             except Bad as bad:
                 status[i] = str(bad)
                 continue
@@ -217,10 +285,10 @@ def hash_pictures(media: DataFrame) -> DataFrame:
 
     media has media_id (bigint) and png (binary); other columns are ignored. status is "ok", or why there is no
     hash: "null", "no_png", "truncated", "bad_checksum" (a chunk's CRC), "bad_header", "bad_stream" (zlib, its
-    Adler-32, or a wrong number of bytes), "bad_filter", "bad_palette", "interlaced" (not decoded) or
-    "too_large"; width, height and hash are then null. One bad picture never stops the others. Null ids and
-    repeated rows get a row like any. Pictures are decoded whole; those of one shape
-    share the unfiltering, HELD_BYTES at once. An empty table gives no rows.
+    Adler-32, or a wrong number of bytes), "bad_filter" or "bad_palette"; width, height and hash are then null.
+    One bad picture never stops the others. Null ids and repeated rows get a row like any. Pictures are decoded
+    whole, whatever their size, interlaced ones too: those of one shape share the unfiltering, HELD_BYTES at
+    once, and larger ones are read in bands. Of 16-bit samples the high bytes count. An empty table gives no rows.
     """
     return media.select("media_id", "png").mapInArrow(_hash, "media_id long, status string, width int, height int, hash binary")
 
