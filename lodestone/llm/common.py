@@ -39,12 +39,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(functools.partial(_delete, spark, path))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read again: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(functools.partial(_delete, spark, path))
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,6 +19,8 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import delete_at_exit, shared_dir
+
 VOCABULARY = os.environ.get("LODESTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 END_OF_TEXT = 50256
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -174,33 +176,75 @@ def records(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_writer(vocabulary), SCHEMA)
 
 
+INDEX = "doc_id long, file string, offset long, length long, n_tokens long"
+
+
 def write_shards(framed: DataFrame, folder: str) -> DataFrame:
-    """Writes records' output as folder/shard-<n>.bin and a separate index, and returns the index.
+    """Writes records' output as shard files and a separate index of them into folder, and returns the index.
 
-    folder is a URI that all executors share. A task streams its shard to a file of its own name and renames it
-    when it is whole, so a lost or doubled task leaves no half shard; the index is Parquet in folder/index.
+    folder is a URI that all executors share. Each task streams its shard to a file with a name of its own, which the
+    index rows of the same task name; of a task that runs again or twice only the attempt that commits its index rows
+    counts, so a lost executor leaves at most a file that no index row names. The index, (doc_id, file, offset, length,
+    n_tokens), is Parquet in folder/index, a few bytes for each record: it can be shuffled without the records.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        out, shard, offset, draft = None, TaskContext.get().partitionId(), 0, f"{root}/.{uuid.uuid4().hex}"
-        name = f"shard-{shard:06d}.bin"
+        out, offset = None, 0
+        name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.bin"
         for batch in batches:
             if out is None:
-                out = fs.open_output_stream(draft)
-            data = batch.column(1).to_pylist()
+                out = fs.open_output_stream(f"{root}/{name}")
+            data = batch.column(2).to_pylist()
             length = np.array([len(r) for r in data], np.int64)
             out.write(b"".join(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(data)), pa.array(offset + np.cumsum(length) - length), pa.array(length)], ["doc_id", "file", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(data), pa.string()), pa.array(offset + np.cumsum(length) - length), pa.array(length), batch.column(1)], ["doc_id", "file", "offset", "length", "n_tokens"])
             offset += int(length.sum())
         if out is not None:
             out.close()
-            fs.move(draft, f"{root}/{name}")
 
-    index = framed.select("doc_id", "record").mapInArrow(write, "doc_id long, file string, offset long, length long")
-    index.write.mode("overwrite").parquet(f"{folder}/index")
-    return framed.sparkSession.read.parquet(f"{folder}/index")
+    framed.select("doc_id", "n_tokens", "record").mapInArrow(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
+    return framed.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
+
+
+def read_shards(index: DataFrame, folder: str) -> DataFrame:
+    """index with a column record: the framed bytes at each row's place, whatever the order of the rows."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        name, file = None, None
+        for batch in batches:
+            files, offsets, lengths = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            at = 0
+            while at < len(files):  # about 4 MB of records at once
+                records, size, first = [], 0, at
+                while at < len(files) and size < 4 << 20:
+                    if files[at] != name:
+                        if file is not None:
+                            file.close()
+                        name, file = files[at], fs.open_input_file(f"{root}/{files[at]}")
+                    records.append(file.read_at(lengths[at], offsets[at]))
+                    size += lengths[at]
+                    at += 1
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, at - first) for c in batch.columns), pa.array(records, pa.binary())], [*batch.schema.names, "record"])
+        if file is not None:
+            file.close()
+
+    return index.select("doc_id", "file", "offset", "length", "n_tokens").mapInArrow(fetch, f"{INDEX}, record binary")
+
+
+def publish(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, file, offset, length, n_tokens, record) for each row of docs, read through the index of the shards it writes.
+
+    What records says of docs holds here too. folder is where the shard files and the index go; without one it is a
+    folder of its own in the one that all executors share, deleted when the session ends. The records are read back
+    from the shard files by their index rows.
+    """
+    if folder is None:
+        folder = f"{shared_dir(docs.sparkSession)}/lodestone/tokens-{uuid.uuid4().hex}"
+        delete_at_exit(docs.sparkSession, folder)
+    return read_shards(write_shards(records(docs, vocabulary), folder), folder)
 
 
 def read_record(data: bytes) -> np.ndarray:
