@@ -60,17 +60,48 @@ def test_components_match_union_find(spark):
 # language identification
 
 
-def test_language_accuracy_and_rejection(spark, documents):
-    got = {r["doc_id"]: r for r in langid.identify(documents).collect()}
-    truth = {r["doc_id"]: r["lang"] for r in documents.collect()}
-    assert len(got) == len(truth)
-    right = sum(got[k]["predicted"] == v for k, v in truth.items())
-    assert right / len(truth) >= 0.95
-    model = langid.fit(documents)
+def test_language_accuracy_held_out(spark, small):
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    model = langid.fit(docs.where("doc_id % 2 = 0"))
+    test = docs.where("doc_id % 2 = 1").toPandas()
+    said, _ = langid.predict(pa.array(test["text"].tolist()), model)
+    assert (np.array(said) == test["lang"].to_numpy()).mean() >= 0.97
     said, cosine = langid.predict(pa.array(["Ξεσκεπάζω την ψυχοφθόρα βδελυγμία " * 5, None, ""]), model)
     assert said == ["und"] * 3 and cosine[1] == 0
 
 
+def test_centroids_match_a_plain_loop(spark, documents):
+    """Trigrams, weights and nearest centroids by dictionaries."""
+    import math
+    from collections import Counter
+
+    model = langid.fit(documents)
+    some = documents.orderBy("doc_id").limit(30).collect()
+    said, cosine = langid.predict(pa.array([r["text"] for r in some]), model)
+    for r, lang, cos in zip(some, said, cosine):
+        low = b" " + "".join(c.lower() if "À" <= c <= "Þ" and c != "×" else c for c in r["text"]).encode() + b" "
+        low = bytes(48 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else 32 if c < 128 and not 97 <= c < 123 else c for c in low)
+        found = Counter()
+        for k in range(len(low) - 2):
+            h = (low[k] * 0x9E3779B1 ^ low[k + 1] * 0x85EBCA77 ^ low[k + 2] * 0xC2B2AE3D) & 0xFFFFFFFF
+            found[((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20] += 1
+        x = {k: (1 + math.log(v)) * model["idf"][k] for k, v in found.items()}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1
+        best = [sum(v * c[k] for k, v in x.items()) / norm for c in model["centres"]]
+        k = int(np.argmax(best))
+        assert cos == pytest.approx(best[k], abs=1e-4) and lang == (model["langs"][k] if best[k] >= model["least"][k] else "und")
+
+
+def test_language_sample_counts_usable_rows_only(spark, monkeypatch):
+    data = [(i, "plain words of text here" if i % 10 == 0 else ("" if i % 2 else None), "en", "s", 1) for i in range(3000)]
+    data += [(i, "dirty " * 3, f"l{i}", "s", 1) for i in range(5000, 5040)]
+    seen = {}
+    monkeypatch.setattr(langid, "k_means", lambda x, k: seen.setdefault(len(seen), x))
+    monkeypatch.setattr(langid, "MAX_LANGS", 5)
+    model = langid.fit(docs_of(spark, data), per_lang=100)
+    assert len(seen[0]) == 100 and len(set(model["langs"])) == 5 and "en" in model["langs"]
+
+
 def test_language_odd_rows(spark):
     got = rows(langid.identify(docs_of(spark, ODD, extra=True)))
     assert len(got) == len(ODD)
@@ -129,11 +160,47 @@ def test_records_round_trip_through_shards(spark, documents, tmp_path):
     some.unpersist()
 
 
+def plain_ids(text, ranks):
+    """Byte-level BPE by its definition: of all neighbours the pair of the lowest rank is merged, again and again."""
+    import regex
+
+    out = []
+    for word in regex.findall(records.PATTERN, text):
+        parts = [bytes([b]) for b in word.encode()]
+        while len(parts) > 1:
+            rank, k = min((ranks.get(parts[k] + parts[k + 1], 1 << 30), k) for k in range(len(parts) - 1))
+            if rank == 1 << 30:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        out += [ranks[p] for p in parts]
+    return out
+
+
+def test_published_records_match_a_plain_encoder(spark, documents, tmp_path):
+    import base64
+    import glob
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(records.VOCABULARY, "rb"))}
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    folder = f"file://{tmp_path}/out"
+    published = records.publish(documents.repartition(3), folder)
+    for r in published.orderBy("doc_id").collect():
+        assert records.read_record(bytes(r["record"])).tolist() == plain_ids(texts.pop(r["doc_id"]), ranks) + [records.END_OF_TEXT]
+    assert not texts
+    index = spark.read.parquet(f"{folder}/index")
+    shuffled = records.read_shards(index.orderBy((index["doc_id"] * 7919) % 1000), folder)
+    assert rows(shuffled) == rows(published)
+    for name in glob.glob(f"{tmp_path}/out/*.bin"):  # records fill each shard end to end
+        places = sorted((r["offset"], r["length"]) for r in index.where(index["file"] == name.rsplit("/", 1)[1]).collect())
+        assert [o for o, _ in places] == [0, *np.cumsum([n for _, n in places])[:-1].tolist()] and sum(n for _, n in places) == len(open(name, "rb").read())
+
+
 def test_records_odd_rows(spark):
-    got = records.records(docs_of(spark, ODD, extra=True)).collect()
-    assert len(got) == len(ODD)
-    assert all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2))
-    assert not rows(records.records(docs_of(spark, [])))
+    for make in (records.records, records.publish):
+        got = make(docs_of(spark, ODD, extra=True)).collect()
+        assert len(got) == len(ODD)
+        assert all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2))
+        assert not rows(make(docs_of(spark, [])))
 
 
 # media
@@ -160,6 +227,120 @@ def test_png_damage_is_told_apart(spark):
     assert not rows(media.hash_pictures(spark.createDataFrame([], "media_id long, png binary")))
 
 
+def plain_png(samples, colour, depth, interlace=False, palette=None, kinds=None):
+    """A PNG of (height, width, channels) samples by plain loops, every line with the next of the five filters."""
+    import struct
+    import zlib
+
+    height, width, channels = samples.shape
+    pixel = max(1, channels * depth // 8)
+    grid = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)] if interlace else [(0, 0, 1, 1)]
+    raw, n = b"", 0
+    for x0, y0, dx, dy in grid:
+        part = samples[y0::dy, x0::dx]
+        before = None
+        for row in part if part.size else []:
+            bits = "".join(format(int(v), f"0{depth}b") for v in row.ravel())
+            line = [int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8)]
+            before = before or [0] * len(line)
+            kind = kinds[n % len(kinds)] if kinds else n % 5
+            n += 1
+            out = []
+            for k, v in enumerate(line):
+                a, b, c = line[k - pixel] if k >= pixel else 0, before[k], before[k - pixel] if k >= pixel else 0
+                p = a + b - c
+                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                out.append((v - (0, a, b, (a + b) // 2, near)[kind]) % 256)
+            raw += bytes([kind, *out])
+            before = line
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    half = zlib.compress(raw)
+    body = chunk(b"IDAT", half[: len(half) // 2]) + chunk(b"IDAT", half[len(half) // 2 :])
+    colours = chunk(b"PLTE", bytes(int(v) for c in palette for v in c)) if palette is not None else b""
+    return media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, int(interlace))) + colours + body + chunk(b"IEND", b"")
+
+
+def plain_brightness(pixel, colour, depth, palette):
+    top = (1 << depth) - 1
+    v = [x >> 8 if depth == 16 else x * 255 / top if colour != 3 else x for x in map(int, pixel)]
+    if colour == 3:
+        v = [int(x) for x in palette[int(v[0])]]
+    elif colour in (4, 6):
+        v = [x * v[-1] / 255 for x in v[:-1]]
+    return v[0] if len(v) == 1 else 0.299 * v[0] + 0.587 * v[1] + 0.114 * v[2]
+
+
+KINDS = [(0, d) for d in (1, 2, 4, 8, 16)] + [(2, 8), (2, 16), (3, 1), (3, 2), (3, 4), (3, 8), (4, 8), (4, 16), (6, 8), (6, 16)]
+
+
+@pytest.mark.parametrize("interlace", [False, True])
+@pytest.mark.parametrize("colour,depth", KINDS)
+def test_every_kind_of_png_matches_plain_loops(colour, depth, interlace):
+    rng = np.random.default_rng(colour * 100 + depth)
+    for shape in ((1, 1), (3, 2), (13, 19)):
+        samples = rng.integers(0, 1 << depth, (*shape, media.CHANNELS[colour]))
+        palette = rng.integers(0, 256, (1 << min(depth, 8), 3)) if colour == 3 else None
+        want = np.array([[plain_brightness(p, colour, depth, palette) for p in row] for row in samples])
+        data = plain_png(samples, colour, depth, interlace, palette)
+        for most in (1, 64, 1 << 20):  # whatever the bands
+            assert np.allclose(media.decode(data, most), want)
+            (height, width), small = media.shrink(data, most)
+            assert (height, width) == shape and np.allclose(small, media._areas(height) @ want @ media._areas(width).T)
+
+
+def plain_hash(picture):
+    """Area averages, cosine transform and signs by loops over numbers."""
+    import math
+
+    height, width = len(picture), len(picture[0])
+    share = lambda i, j, n: max(0.0, min((i + 1) * n / 32, j + 1) - max(i * n / 32, j))
+    small = [[sum(share(y, j, height) * share(x, i, width) * picture[j][i] for j in range(height) for i in range(width)) * 32 / height * 32 / width for x in range(32)] for y in range(32)]
+    scale = lambda k: math.sqrt((1 if k == 0 else 2) / 32)
+    low = [scale(u) * scale(v) * sum(small[y][x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    median = sorted(low[1:])[31]
+    return "".join("1" if v > median + 1e-6 else "0" for v in low), [abs(v - median) for v in low]
+
+
+def test_hashes_match_plain_loops(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    shapes, data = [(8, 8), (9, 5), (40, 33)], []
+    for k, shape in enumerate(shapes):
+        data.append((k, bytearray(plain_png(rng.integers(0, 256, (*shape, 3)), 2, 8, interlace=k == 1))))
+    df = spark.createDataFrame(data, "media_id long, png binary")
+    got = {r["media_id"]: r for r in media.hash_pictures(df).collect()}
+    for k, png in data:
+        assert got[k]["status"] == "ok" and (got[k]["height"], got[k]["width"]) == shapes[k]
+        want, clear = plain_hash(media.decode(bytes(png)).tolist())
+        said = "".join(f"{b:08b}" for b in got[k]["hash"])
+        assert all(a == b for a, b, d in zip(said, want, clear) if d > 1e-5)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in data]), pa.array([bytes(v) for _, v in data], pa.binary())], ["media_id", "png"])
+    monkeypatch.setattr(media, "HELD_BYTES", 1)  # all pictures are now too large to be held
+    (again,) = media._hash(iter([batch]))
+    assert again.column("hash").to_pylist() == [got[k]["hash"] for k, _ in data]
+
+
+def test_every_fault_has_its_status(spark):
+    import struct
+    import zlib
+
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    png = lambda head, raw, more=b"": media.SIGNATURE + chunk(b"IHDR", head) + more + chunk(b"IDAT", raw) + chunk(b"IEND", b"")
+    head = lambda w, h, depth=8, colour=0, interlace=0: struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlace)
+    packed = zlib.compress(bytes(12))
+    cases = [
+        ("ok", png(head(3, 3), packed)), ("bad_header", png(head(0, 3), packed)), ("bad_header", png(head(3, 3, 3), packed)), ("bad_header", png(head(3, 3, 8, 5), packed)),
+        ("bad_header", png(head(3, 3, interlace=2), packed)), ("bad_header", png(b"short", packed)), ("bad_header", media.SIGNATURE + chunk(b"IEND", b"")),
+        ("bad_stream", png(head(3, 4), packed)), ("bad_stream", png(head(3, 2), packed)), ("bad_stream", png(head(3, 3), packed[:-1])), ("bad_stream", png(head(3, 3), packed[:-1] + b"!")), ("bad_stream", png(head(3, 3), b"junk")),
+        ("bad_stream", png(head(100_000, 1_000_000), packed)), ("bad_filter", png(head(3, 3), zlib.compress(b"\x09" + bytes(11)))), ("bad_palette", png(head(3, 3, 8, 3), packed)),
+        ("bad_palette", png(head(3, 3, 8, 3), zlib.compress(bytes(11) + b"\x07"), chunk(b"PLTE", bytes(6)))), ("ok", png(head(3, 3, 8, 3), packed, chunk(b"PLTE", bytes(6)))), ("no_png", b""), ("truncated", media.SIGNATURE),
+        ("ok", png(head(9000, 9000), zlib.compress(bytes(9001 * 9000)))),
+    ]
+    df = spark.createDataFrame([(k, bytearray(v)) for k, (_, v) in enumerate(cases)], "media_id long, png binary")
+    got = {r["media_id"]: (r["status"], r["hash"]) for r in media.hash_pictures(df).collect()}
+    assert [got[k][0] for k in range(len(cases))] == [s for s, _ in cases]
+    assert all((h is None) == (s != "ok") for s, h in got.values())
+
+
 def test_hash_is_close_for_alike_pictures():
     y, x = np.mgrid[0:64, 0:64] / 64
     a = 128 + 60 * np.sin(7 * x + 2 * y) + 50 * np.cos(5 * y * x)
@@ -363,7 +544,10 @@ def test_quality_odd_rows(spark, labels):
 
 
 def test_urls_match_sql(spark, small, duck):
-    same_rows(urls.filter_urls(spark.read.parquet(f"{small}/pages.parquet")), duck, urls.oracle())
+    got = urls.filter_urls(*urls.with_links(spark.read.parquet(f"{small}/pages.parquet")))
+    same_rows(got, duck, urls.oracle())
+    sizes = [r["count"] for r in got.groupBy("component").count().collect()]
+    assert max(sizes) >= 3 and {r["decision"] for r in got.collect()} >= {"block", "keep"}
 
 
 def test_decisions_spread_and_allow_wins(spark):
@@ -382,6 +566,17 @@ def test_decisions_spread_and_allow_wins(spark):
     assert not rows(urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")))
 
 
+def test_relative_links_and_all_tags_count(spark):
+    links = ["/root?a=1&amp;b=2", "side", "../up", "./../../../top", "?q=1", "//other.test/x", "#here", "mailto:a@b", "HTTPS://abs.test/Y", "a/b/../c.html"]
+    df = spark.createDataFrame([("http://www.h.test/d/e/f?z#w", t) for t in links], "url string, t string")
+    got = [r[0] for r in df.select(urls.normal(urls.resolve(df["url"], df["t"]))).collect()]
+    assert got == ["h.test/root?a=1&b=2", "h.test/d/e/side", "h.test/d/up", "h.test/top", "h.test/d/e/f?q=1", "other.test/x", None, None, "abs.test/Y", "h.test/d/e/a/c"]
+    two = '<link rel=canonical href=one><p>' + "x" * 200_000 + '<link href="/two" rel="canonical"><meta http-equiv="refresh" content="3;URL=/three">'
+    pages = [(1, "http://a.test/", two), (2, "http://a.test/one", ""), (3, "http://bad.test/" + "y" * 50_000, '<link rel="canonical" href="http://a.test/two/">'), (4, "a.test/three", None)]
+    said = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), None, ["bad.test"], [], [], []).collect()
+    assert {r["decision"] for r in said} == {"block"} and len({r["component"] for r in said}) == 1
+
+
 # mixing
 
 
@@ -391,7 +586,7 @@ def test_mixing_matches_sql(documents, duck):
 
 def test_quotas_are_sainte_lague(spark):
     data = [(i, "one two three four five", None, s, 0) for s, lo, n in (("a", 0, 400), ("b", 1000, 400), ("c", 2000, 400)) for i in range(lo, lo + n)]
-    got = mixing.select_blocks(docs_of(spark, data), {"a": 5.0, "b": 3.0, "c": 0.0}, block_tokens=50, n_shards=1, fraction=0.2, seed=1)
+    got = mixing.select_blocks(docs_of(spark, data), {"a": 5.0, "b": 3.0, "c": 0.0}, block_tokens=50, shard_rows=5000, fraction=0.2, seed=1)
     quota = {r["source"]: r["quota"] for r in got.collect()}
     places, have = 24, {"a": 0, "b": 0}
     for _ in range(places):
@@ -400,6 +595,27 @@ def test_quotas_are_sainte_lague(spark):
     assert quota == have
 
 
+def test_shares_of_tokens_hold_with_very_long_documents(spark):
+    """Two sources of as many tokens, one in short documents and one in long ones, and one very long one in each."""
+    data = [(i, "w " * 40, None, "short", 0) for i in range(3000)] + [(10_000 + i, "w " * 2000, None, "long", 0) for i in range(60)]
+    data += [(20_000, "w " * 9000, None, "short", 0), (20_001, "w " * 9000, None, "long", 0)]
+    for weights, want in (({"short": 1.0, "long": 1.0}, 0.5), ({"short": 3.0, "long": 1.0}, 0.75), ({"short": 1.0, "long": 4.0}, 0.2)):
+        got = mixing.select_blocks(docs_of(spark, data), weights, block_tokens=500, shard_rows=10_000, fraction=0.5, seed=2).groupBy("source").agg({"n_tokens": "sum", "quota": "max"})
+        have = {r["source"]: r["sum(n_tokens)"] for r in got.collect()}
+        # half a very long document is 4,500 of 129,000 tokens
+        assert abs(have["short"] / sum(have.values()) - want) < 0.04
+        assert abs(sum(have.values()) - 129_000) < 2 * 4500
+
+
+def test_shards_follow_the_rows_and_ties_go_by_name(spark):
+    data = [(i, "a b c", None, "bcd"[i % 3], 0) for i in range(900)]
+    got = mixing.select_blocks(docs_of(spark, data), block_tokens=30, shard_rows=100).collect()
+    assert {r["shard"] for r in got} == set(range(9))
+    for shard in range(9):
+        quota = {r["source"]: r["quota"] for r in got if r["shard"] == shard}
+        assert max(quota.values()) - min(quota.values()) <= 1 and quota["b"] >= quota["c"] >= quota["d"]
+
+
 def test_mixing_odd_rows(spark):
     got = mixing.select_blocks(docs_of(spark, ODD, extra=True), fraction=1.0)
     assert got.count() == len(ODD)
@@ -504,7 +720,7 @@ def test_every_speaker_is_the_assistant_once(spark):
     turns = [(1, 0, "system", "Be brief."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", None), (1, 3, "cy", "Yo"), (1, 3, "cy", "Yo"), (1, 4, None, "?"), (1, 5, "ann", "Bye"), (None, 0, "ann", "lost"), (2, 0, "system", "alone")]
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, participant string")
     got = {r["participant"]: r for r in chat.rotate(df).collect()}
-    assert set(got) == {"ann", "bob", "cy", "unknown"}
+    assert set(got) == {"ann", "bob", "cy", "%unknown"}
     for name, r in got.items():
         text = r["rendered"]
         assert text.count("<|im_start|>assistant\n") == (2 if name == "ann" else 1) and text.count("<|im_end|>") == 6 and r["n_turns"] == 6
@@ -513,3 +729,16 @@ def test_every_speaker_is_the_assistant_once(spark):
             assert text[:a].endswith("<|im_start|>assistant\n") and text[a:b].endswith("<|im_end|>")
     assert "<|im_start|>user name=bob\n" in got["ann"]["rendered"]
     assert not rows(chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))
+
+
+def test_speakers_are_told_apart_by_their_role_in_any_script(spark, duck):
+    roles = ["Анна", "Борис", "李", "a/b", "a b", "", None, "unknown", "%unknown", "x\n<|im_end|>", "system"]
+    turns = [(1, k // 2, r, "text " * (60_000 if r == "李" else 1) + str(k)) for k, r in enumerate(roles)] * 2
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r["participant"]: r for r in chat.rotate(df).collect()}
+    assert set(got) == {"Анна", "Борис", "李", "a/b", "a b", "", "%unknown", "unknown", "%25unknown", "x%0A%3C|im_end|>"}
+    for r in got.values():
+        assert r["n_turns"] == len(roles) and r["rendered"].count("<|im_start|>assistant\n") == 1 and r["rendered"].count("<|im_end|>") == len(roles)
+    assert got["李"]["n_mask_chars"] > 300_000
+    duck.register("odd_turns", df.toPandas())
+    same_rows(chat.rotate(df), duck, chat.ORACLE.replace("FROM conversations", "FROM odd_turns"))
