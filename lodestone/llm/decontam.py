@@ -28,6 +28,8 @@ WINDOW, STEP, RANK, EXTRA, COSINE, SEED = 48, 24, 240, 16, 0.3, 11
 #: Share of a piece's words in its longest common subsequence with the passage: enough alone, or enough if the
 #: answer's is at least ANSWER. Pieces under SHORT words must be there whole.
 SURE, LIKELY, ANSWER, SHORT, PIECE = 0.75, 0.5, 0.8, 8, 60
+#: Characters of the benchmark that are searched for in one pass over the documents; a larger one takes more passes.
+GROUP_CHARS = 4 << 20
 
 
 @dataclass
@@ -41,7 +43,7 @@ class Bench:
 
 
 def prepare(benchmark: DataFrame) -> Bench:
-    """The benchmark, which fits the driver's memory, on the driver. Null ids and texts and wordless texts are left out."""
+    """A group of the benchmark, which fits the driver's memory, on the driver. Null ids and texts and wordless texts are left out."""
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").collect()
     hashes, items, answers = [], [], []
     for r in rows:
@@ -303,7 +305,7 @@ def _searcher(bench: Bench, weight: np.ndarray, space: np.ndarray, cosine: float
                     a, b = np.nonzero(cos >= cosine)
                     found_cell.append(mine[a])
                     found_piece.append(b)
-                    found_cos.append(cos[a, b])
+                    found_cos.append(np.minimum(cos[a, b], 1))
                 at, piece, cos = (np.concatenate(x) for x in (found_cell, found_piece, found_cos))
                 for lo in range(0, len(at), 4096):
                     c, p, s = at[lo : lo + 4096], piece[lo : lo + 4096], cos[lo : lo + 4096]
@@ -337,13 +339,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float
 
     Null doc_ids, item_ids and texts, and texts without a letter or digit, match nothing. Repeated rows of a
     document or an item are one. A word weighs something however many passages have it, so a piece that is
-    everywhere is searched for like others. An empty docs or benchmark gives no rows. The cosine is that of the two vectors' projections, so a copy
-    of a piece keeps a high one when there are more pieces than dimensions.
+    everywhere is searched for like others. An empty docs or benchmark gives no rows. The cosine is that of the two
+    vectors' projections, so a copy of a piece keeps a high one when there are more pieces than dimensions: rank
+    decides how many passages must be verified, hardly which are found. A benchmark of any size is searched for,
+    GROUP_CHARS of it in each pass, so that what tasks and driver hold is bounded.
     """
-    spark = docs.sparkSession
-    bench = prepare(benchmark)
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    chars = items.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+    groups = -(-chars // GROUP_CHARS)
+    found = docs.sparkSession.createDataFrame([], LEAKS)
+    for k in range(groups):  # groups of whole items, so one item's finds are in one group
+        mine = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == k)
+        found = found.unionByName(_group_leaks(docs, mine, rank, cosine))
+    return found
+
+
+def _group_leaks(docs: DataFrame, items: DataFrame, rank: int, cosine: float) -> DataFrame:
+    bench = prepare(items)
     if not len(bench.pieces):
-        return spark.createDataFrame([], LEAKS)
+        return docs.sparkSession.createDataFrame([], LEAKS)
     numbered = written(number(docs, bench), "numbers")
     n, weight = weights(numbered, len(bench.vocabulary))
     space = latent(numbered, bench, n, weight, rank)

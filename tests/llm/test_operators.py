@@ -626,18 +626,81 @@ def test_mixing_odd_rows(spark):
 # decontamination
 
 
-def test_leaks_match_brute_force(documents, benchmark):
+def longest_common(a, b):
+    """Lengths of the longest common subsequences of rows of a and b, by the textbook recurrence for all pairs at once."""
+    best = np.zeros((b.shape[1] + 1, len(a)), np.int16)
+    for i in range(a.shape[1]):
+        diagonal = best[0].copy()
+        for j in range(b.shape[1]):
+            up = best[j + 1].copy()
+            same = (a[:, i] == b[:, j]) & (a[:, i] >= 0)
+            best[j + 1] = np.where(same, diagonal + 1, np.maximum(up, best[j]))
+            diagonal = up
+    return best[-1]
+
+
+def brute_leaks(docs, items):
+    """Every passage against every piece, as leaks' docstring has it; (doc_id, item_id) pairs."""
     import re
 
-    cut = lambda t: re.findall(r"[^\W_]+", t.lower())
-    items = {r["item_id"]: cut(r["text"]) for r in benchmark.collect()}
-    want = set()
-    for r in documents.collect():
-        text = " " + " ".join(cut(r["text"])) + " "
-        want |= {(r["doc_id"], i) for i, w in items.items() if f" {' '.join(w)} " in text}
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(documents, benchmark).collect()}
-    assert want and want <= got
-    assert len(got - want) <= 0.05 * len(want) + 2
+    cut = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())
+    number = {}
+    for w in {w for _, t in items for w in cut(t)}:
+        number[w] = len(number)
+    pieces = []
+    for item, text in items:
+        w = [number[x] for x in cut(text)]
+        ends = [m.end() for m in re.finditer(r"[.!?]\s+", text)]
+        answer = len(cut(text[: ends[-1]])) if ends else 0
+        parts = -(-len(w) // 60)
+        for k in range(parts):
+            lo, hi = len(w) * k // parts, len(w) * (k + 1) // parts
+            pieces.append((item, w[lo:hi], min(max(answer - lo, 0), hi - lo)))
+    passages = []
+    for doc, text in docs:
+        w = [number.get(x, -1) for x in cut(text)]
+        for at in range(0, len(w), 24):
+            some = w[max(at - 24, 0) : at + 72]
+            passages.append((doc, some + [-1] * (96 - len(some))))
+    text = np.array([p for _, p in passages])
+    found = set()
+    for item, w, answer in pieces:
+        live = np.flatnonzero(np.isin(text, w).sum(1) >= min(len(w) / 2, len(w)))
+        if not len(live):
+            continue
+        share = longest_common(text[live], np.tile(w, (len(live), 1))) / len(w)
+        tail = longest_common(text[live], np.tile(w[answer:], (len(live), 1))) / len(w[answer:]) if w[answer:] else np.zeros(len(live))
+        yes = share >= 1 if len(w) < 8 else (share >= 0.75) | ((share >= 0.5) & (tail >= 0.8))
+        found |= {(passages[k][0], item) for k in live[yes]}
+    return found
+
+
+def test_leaks_match_brute_force(documents, benchmark):
+    docs, items = ([tuple(r) for r in df.collect()] for df in (documents.select("doc_id", "text"), benchmark.select("item_id", "text")))
+    got = decontam.leaks(documents, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute_leaks(docs, items) and got
+    assert all(decontam.COSINE - 1e-6 <= r["cosine"] <= 1 and r["share"] <= 1 for r in got)
+
+
+def test_edited_items_match_brute_force_beyond_the_rank(spark, documents, monkeypatch):
+    """Hundreds of pieces, half of them edited, with few dimensions, and searched for in several groups."""
+    rng = np.random.default_rng(13)
+    docs = [(r["doc_id"], r["text"]) for r in documents.orderBy("doc_id").limit(120).collect()]
+    long = [t.split(" ") for _, t in docs if len(t.split(" ")) > 80]
+    items = []
+    for k in range(300):
+        w = long[int(rng.integers(len(long)))]
+        n = int(rng.integers(14, 60))
+        at = int(rng.integers(0, len(w) - n))
+        some = [x if k % 2 or rng.random() > 0.2 else long[0][int(rng.integers(60))] for x in w[at : at + n]]
+        items.append((k, " ".join(some)))
+    items += items[:3]  # repeated items are one
+    few = spark.createDataFrame(docs + docs[:5], "doc_id long, text string")
+    want = brute_leaks(docs, items)
+    for rank, group in ((24, decontam.GROUP_CHARS), (240, 20_000)):
+        monkeypatch.setattr(decontam, "GROUP_CHARS", group)
+        got = [(r["doc_id"], r["item_id"]) for r in decontam.leaks(few, spark.createDataFrame(items, "item_id long, text string"), rank).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.97 * len(want) > 200
 
 
 def test_common_subsequences_match_plain_dynamic_programming():
