@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, near-duplicates, decontamination, mixing, token records.
 
 Every stage works on all that the one before it kept. All but the last return the columns of documents; the
-last one returns framed token records. On a cluster a driver writes each stage and reads it again; run()
+last one writes framed token records as shards with an index and returns them. On a cluster a driver writes each stage and reads it again; run()
 does so itself, into the folder that all executors share.
 """
 
@@ -38,8 +38,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Framed token records and their places in the shards."""
-    return records.records(docs)
+    """Framed token records, written as shards with a separate index and read through it."""
+    return records.publish(docs)
 
 
 STAGES = [
