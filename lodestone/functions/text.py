@@ -197,3 +197,36 @@ def asset_text(kind: Column, name: Column, description: Column, exports: Column)
 def or_default(text: Column, default: Column) -> Column:
     """Trimmed text, or the default where it is null or blank."""
     return F.coalesce(F.nullif(F.trim(text), F.lit("")), default)
+
+
+def flat_json(text: Column, depth: int = 8) -> Column:
+    """A JSON object's scalars as (key, value) pairs by dotted key, in order of key (F29); null if it is no object.
+
+    Each step opens the objects that are left, for depth steps; deeper ones keep their JSON as the value.
+    """
+    opened = lambda v: F.map_entries(F.from_json(v, "map<string,string>"))
+    is_object = lambda v: F.coalesce(v.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False))
+
+    def below(e: Column) -> Column:
+        inner = F.transform(opened(e["value"]), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
+        return F.when(is_object(e["value"]), inner).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+    out = opened(text)
+    for _ in range(depth - 1):
+        out = F.flatten(F.transform(out, below))
+    return F.array_sort(out)
+
+
+def asset_scope(known: Column, path: Column, kind: Column) -> Column:
+    """backend or frontend (F27): where the module is known already, else what the kind or the path says.
+
+    known: the scopes of the module, an array; frontend comes first if it has both.
+    """
+    return (
+        F.when(F.array_contains(known, "frontend"), "frontend")
+        .when(F.array_contains(known, "backend"), "backend")
+        .when(kind == "component", "frontend")
+        .when(kind.isin("api", "rpc", "pojo", "starter"), "backend")
+        .when(path.rlike("(^|/)packages/"), "frontend")
+        .otherwise("backend")
+    )

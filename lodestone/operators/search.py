@@ -146,6 +146,51 @@ def summarize_table(df: DataFrame, key: str, summarize: Callable[[list[dict]], l
     return df.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, summary string, fallback boolean")
 
 
+def split_semantic(df: DataFrame, text: str, split: Callable[[str], list[dict]] | None = None, budget: int = 800, retries: int = 3, wait_s: float = 1.0) -> DataFrame:
+    """df with part, title and text of each chunk in place of its text (T2): texts that fit the budget stay whole.
+
+    A longer text goes to split, which gives dicts of title and text; RetryLater is tried again with doubled waits.
+    Without split, and where it fails for good or gives nothing usable, the text is cut where paragraphs end, or in
+    equal pieces where there is none, so no text is lost and one failure costs only the better cut.
+    """
+    names = [c for c in df.columns if c != text]
+    kinds = dict(df.dtypes)
+    at = df.columns.index(text)
+
+    def local(t: str) -> list[tuple[str, str]]:
+        parts, size = [""], 4 * budget
+        for p in t.split("\n\n"):
+            for piece in [p[k : k + size] for k in range(0, len(p), size)] or [""]:
+                if parts[-1] and len(parts[-1]) + 2 + len(piece) > size:
+                    parts.append("")
+                parts[-1] = f"{parts[-1]}\n\n{piece}" if parts[-1] else piece
+        return [(next((x.lstrip("# ").strip() for x in p.split("\n") if x.strip()), ""), p) for p in parts if p]
+
+    def chunks(t: str) -> list[tuple[str, str]]:
+        import time
+
+        if len(t.strip()) <= 4 * budget or split is None:
+            return local(t)
+        for attempt in range(retries + 1):
+            try:
+                found = [(str(c.get("title") or ""), c["text"]) for c in split(t) if isinstance(c, dict) and isinstance(c.get("text"), str) and c["text"].strip()]
+                return found or local(t)
+            except RetryLater:
+                if attempt < retries:
+                    time.sleep(wait_s * 2**attempt)
+            except (ValueError, TypeError, KeyError, AttributeError):
+                break
+        return local(t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(row, part, *c) for row, t in enumerate(b.column(at).to_pylist()) for part, c in enumerate(chunks(t or ""))]
+            rest = [b.column(df_at).take(pa.array([f[0] for f in found], pa.int64())) for df_at in range(b.num_columns) if df_at != at]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.string()), pa.array([f[3] for f in found], pa.string())], [*names, "part", "chunk_title", "chunk"])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "part int, chunk_title string, chunk string"]))
+
+
 def pack_paragraphs(text: Column, limit: int = 800, separator: str = "\n") -> Column:
     """Paragraphs packed greedily into chunks of at most limit characters (T5); a longer one stands alone."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))

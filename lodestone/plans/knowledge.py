@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import schemas
 from lodestone.functions import text as T
 from lodestone.operators import relational as R
+from lodestone.operators import rules as rules_
 from lodestone.operators import search as S
+from lodestone.operators.audit import affected_units, classify
 from lodestone.operators.graph import endpoints
+from lodestone.operators.tree import flatten
 from lodestone.sources import code, files as files_, native
 from lodestone.sources.files import extract
 from lodestone.sources.store import Store, markdown_sections, markdown_table
@@ -46,8 +51,17 @@ def java_endpoints(files: DataFrame, modules: DataFrame, rules: Rules = ()) -> D
 
 
 def apis(files: DataFrame, modules: DataFrame, rules: Rules = ()) -> DataFrame:
-    """All endpoints; those of OpenAPI documents win over those read from Java."""
-    return R.prefer(native.openapi(files), java_endpoints(files, modules, rules), ["method", "path"])
+    """All endpoints in one shape; those of OpenAPI documents win over those read from code."""
+    found = R.union_all([java_endpoints(files, modules, rules), _unified(go_endpoints(files), modules, "go", "id"), _unified(python_endpoints(files), modules, "python")])
+    return R.prefer(native.openapi(files), found, ["method", "path"])
+
+
+def _unified(routes: DataFrame, modules: DataFrame, source: str, key: str | None = None) -> DataFrame:
+    """Endpoints of other languages in the shape of Java's."""
+    inside = F.when(F.contains("path", F.lit("/internal")), "internal").otherwise("public")
+    name = F.col(key) if key else F.concat("method", F.lit("-"), "path")
+    summary = F.col("handler") if "handler" in routes.columns else F.concat_ws(" ", "method", "path")
+    return owned(routes, modules).select(name.alias("id"), "method", "path", summary.alias("summary"), F.array().cast("array<string>").alias("tags"), inside.alias("audience"), F.lit(source).alias("source"), "module_slug", "file", "pos")
 
 
 def go_endpoints(files: DataFrame) -> DataFrame:
@@ -65,17 +79,27 @@ def python_endpoints(files: DataFrame) -> DataFrame:
     return extract(files, code.python_routes, "file string, method string, path string, handler string, pos int", suffixes=[".py"])
 
 
+def other_entities(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """Fields of Go structs and of Python's pydantic, Django and SQLAlchemy classes in the shape of JPA's."""
+    go = extract(files, code.go_structs, "file string, entity string, name string, type string, tag string, pos int", ["struct"], [".go"]).withColumn("source", F.lit("go"))
+    py = extract(files, code.python_classes, "file string, entity string, bases string, name string, type string, pos int", ["class "], [".py"])
+    py = py.where(F.col("bases").rlike(r"\b(BaseModel|Model|Base|DeclarativeBase|SQLModel|Document)\b")).withColumn("source", F.lit("python"))
+    both = go.select("file", "entity", "name", "type", "source", "pos").unionByName(py.select("file", "entity", "name", "type", "source", "pos"))
+    table = F.lower(F.regexp_replace("entity", "(?<=[a-z0-9])(?=[A-Z])", "_"))
+    return owned(both, modules).select("module_slug", "entity", table.alias("table"), "name", "type", F.lit(None).cast("string").alias("column"), F.lit(None).cast("boolean").alias("nullable"), "source", F.lit(4).alias("rank"), "file", "pos")
+
+
 ENTITY_FIELDS = "file string, entity string, table string, name string, type string, column string, nullable boolean, pos int"
 
 
 def entities(files: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fields, relations): JPA before MyBatis before SQL, fields united by lower-case name (U5, A10); tables of SQL have no module."""
+    """(fields, relations): JPA before MyBatis before SQL before Go and Python, fields united by lower-case name (U5, A10); tables of SQL have no module."""
     jpa = owned(extract(files, code.jpa_fields, ENTITY_FIELDS, ["@Entity"], [".java"]), modules).select("module_slug", "entity", "table", "name", "type", "column", "nullable", F.lit("jpa").alias("source"), F.lit(1).alias("rank"), "file", "pos")
     fields, mybatis_rel = native.mybatis(files)
     mybatis = owned(fields, modules).select("module_slug", "entity", F.lower(F.regexp_replace("entity", "(?<=[a-z0-9])(?=[A-Z])", "_")).alias("table"), "name", F.lit("unknown").alias("type"), "column", F.lit(None).cast("boolean").alias("nullable"), F.lit("mybatis").alias("source"), F.lit(2).alias("rank"), "file", "pos")
     cols, sql_rel = native.sql_tables(files)
     sql = cols.select(F.lit("").alias("module_slug"), F.col("table").alias("entity"), "table", "name", "type", F.col("name").alias("column"), "nullable", F.lit("sql").alias("source"), F.lit(3).alias("rank"), "file", "pos")
-    merged = R.merge_ranked(R.union_all([jpa, mybatis, sql]), ["module_slug", "table"], "name", "rank", ["file", "pos"])
+    merged = R.merge_ranked(R.union_all([jpa, mybatis, sql, other_entities(files, modules)]), ["module_slug", "table"], "name", "rank", ["file", "pos"])
     jpa_rel = extract(files, code.jpa_relations, "src string, dst string, kind string, field string, source string, file string, pos int", ["@Entity"], [".java"])
     ranked = R.union_all([jpa_rel.withColumn("rank", F.lit(1)), mybatis_rel.withColumn("rank", F.lit(2)), sql_rel.withColumn("rank", F.lit(3))])
     return merged, R.first_wins(ranked, ["src", "dst", "kind"], ["rank", "file", "pos"])
@@ -108,6 +132,32 @@ def call_graph_java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, R.first_wins(call_edges.unionByName(uses), ["src", "dst", "kind"], ["file", "pos"])
 
 
+def call_graph_others(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of Go and Python methods and the calls between those that the tree defines.
+
+    A call leads to the methods of its name in its own language: on self or the receiver's class to its own class's, else to
+    those of the class or package that it names, else, if a single class has a method of that name, to that one.
+    """
+    go = extract(files, code.go_calls, "file string, function string, receiver string, called string, pos int", ["func "], [".go"])
+    go = go.select("file", F.when(F.contains("function", F.lit(".")), F.substring_index("function", ".", 1)).alias("class"), F.substring_index("function", ".", -1).alias("name"), "receiver", "called", "pos", F.lit("go").alias("lang"))
+    py = extract(files, code.python_methods, "file string, class string, name string, receiver string, called string, pos int", ["def "], [".py"]).withColumn("lang", F.lit("python"))
+    rows = go.unionByName(py)
+    owner = F.coalesce("class", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.\w+$", ""))
+    rows = rows.withColumn("owner", owner)
+    mid = lambda o, n: F.concat(F.lit("method:"), o, F.lit("#"), n)
+    methods = R.first_wins(rows.select(mid(F.col("owner"), F.col("name")).alias("id"), "owner", "name", "class", "file", "lang", "pos"), ["id"], ["file", "pos"])
+    nodes = methods.select("id", F.lit("method").alias("kind"), F.concat_ws(".", "class", "name").alias("name"), "file", F.lit("service").alias("layer"))
+    targets = methods.select("lang", F.col("name").alias("called"), F.col("owner").alias("target"), F.col("id").alias("dst"))
+    only = Window.partitionBy("lang", "called")
+    targets = targets.withColumn("_n", F.count("*").over(only))
+    calls = rows.where("called IS NOT NULL").join(targets, ["lang", "called"])
+    own = F.col("receiver").isin("self", "cls") & (F.col("target") == F.col("owner"))
+    named = F.lower("receiver") == F.lower("target")
+    kept = calls.where(own | named | (~F.col("receiver").isin("self", "cls") & (F.col("_n") == 1)))
+    edges = kept.select(mid(F.col("owner"), F.col("name")).alias("src"), "dst", F.lit("calls").alias("kind"), F.when(own | named, "high").otherwise("low").alias("confidence"), "file", "pos")
+    return nodes, R.first_wins(edges, ["src", "dst", "kind"], ["confidence", "file", "pos"])
+
+
 def call_graph_frontend(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of components: imports that lead to a file, and tags that a template uses."""
     some = files.where(F.col("path").rlike(r"\.(vue|tsx?|jsx?)$"))
@@ -197,43 +247,106 @@ def index(chunk: DataFrame) -> DataFrame:
     return nodes.join(below, "path", "left").join(leaf, "path", "left").select("path", kind.alias("kind"), "title", "parent", F.coalesce("children", none).alias("children"), F.coalesce("chunks", none).alias("chunks"))
 
 
-def start_init(spark: SparkSession, root: str, out: str, rules: Rules = (), embed: S.Embed | None = None, plugins: Sequence[Plugin] = ()) -> Store:
-    """Scans root and writes every table of the knowledge base to out (Q21): one file scan, shared by all extractors.
+RPCS = "file string, client string, interface string, method string, http string, path string, pos int"
+
 
-    The scan is written first, so that no extractor lists or reads the source tree again.
+def rpcs(files: DataFrame) -> DataFrame:
+    """Methods of Feign clients and of proto services, which have no HTTP method and the path /service/method."""
+    feign = extract(files, code.java_rpcs, RPCS, ["@FeignClient"], [".java"])
+    proto = native.proto(files).select("file", F.col("service").alias("client"), F.col("service").alias("interface"), "method", F.lit("").alias("http"), F.concat(F.lit("/"), "service", F.lit("/"), "method").alias("path"), "pos")
+    return feign.unionByName(proto)
+
+
+def frontend_tables(files: DataFrame) -> dict[str, DataFrame]:
+    """Calls of interfaces, routes with their full paths, stores and component contracts."""
+    web = files.where(F.col("path").rlike(r"\.(vue|tsx?|jsx?)$"))
+    raw = extract(web, code.routes, "file string, id string, parent string, path string, name string, component string, pos int", ["oute"])
+    full = flatten(raw.select("id", "parent", "path")).select("id", F.col("path").alias("full_path"))
+    props = extract(files, code.vue_contract, "file string, props array<string>, emits array<string>", suffixes=[".vue"])
+    return {
+        "packages": files_.packages(files),
+        "api_clients": native.api_clients(files),
+        "routes": raw.join(full, "id").select("file", "id", "parent", "full_path", "name", "component", "pos"),
+        "stores": extract(web, code.stores, "file string, name string, store_id string, state array<string>, getters array<string>, actions array<string>, pos int", ["tore"]),
+        "vue_contracts": props.join(native.vue_tags(files), "file", "left"),
+    }
+
+
+def path_rules(files: DataFrame) -> DataFrame:
+    """(prefix, pattern, source, confidence, det_rank): what every detector finds in files."""
+    return rules_.discover(files, native.yml_merged(native.yml(files)), native.starters(files))
+
+
+def _ordered(found: DataFrame) -> Rules:
+    """Rules for one CASE, those of better detectors first: a handful of rows."""
+    order = [F.col(c) for c in ("det_rank", "pattern") if c in found.columns]
+    return [(r["pattern"], r["prefix"]) for r in found.orderBy(*order).select("pattern", "prefix").collect()]
+
+
+def _build(store: Store, files: DataFrame, rules: Rules | None, embed: S.Embed | None, plugins: Sequence[Plugin]) -> None:
+    """Every table of the knowledge base from one table of files; chunks whose text is known keep their vectors.
+
+    rules: patterns and prefixes; None takes those found in the files with the store's manual ones in front.
     """
-    store = Store(spark, out)
-    store.write("files", files_.scan(spark, root))
-    files = store.read("files")
     modules = files_.maven_modules(files)
     store.write("modules", modules)
-    store.write("apis", apis(files, modules, rules))
-    rpcs = extract(files, code.java_rpcs, "file string, client string, interface string, method string, http string, path string, pos int", ["@FeignClient"], [".java"])
-    store.write("rpcs", rpcs)
+    modules = store.read("modules")
+    store.write("starters", native.starters(files))
+    if rules is None:
+        store.write("auto_rules", path_rules(files))
+        manual = store.read("manual_rules", "pattern string, prefix string")
+        store.write("path_rules", rules_.merge_manual(store.read("auto_rules"), manual))
+        store.write_if_changed("path_rules_hash", rules_.rules_hash(store.read("path_rules")))
+        rules = [*_ordered(manual), *_ordered(store.read("auto_rules"))]
+    plugged = lambda phase: [p.scan(files) for p in plugins if p.phase == phase]
+    more = lambda df, phase: R.union_all([df, *plugged(phase)])
+    store.write("apis", more(apis(files, modules, rules), "api"))
+    store.write("rpcs", rpcs(files))
     fields, relations = entities(files, modules)
-    for plugin in plugins:
-        if plugin.phase == "entity":
-            fields = fields.unionByName(plugin.scan(files), allowMissingColumns=True)
-    store.write("entity_fields", fields)
+    store.write("entity_fields", more(fields, "entity"))
     store.write("relations", relations)
     nodes, edges = flow_graph(files, store.read("entity_fields"), store.read("rpcs"))
-    for plugin in plugins:
-        if plugin.phase == "flow":
-            edges = edges.unionByName(plugin.scan(files), allowMissingColumns=True)
     store.write("flow_nodes", nodes)
-    store.write("flow_edges", edges)
-    java, web = call_graph_java(files), call_graph_frontend(files)
-    store.write("call_nodes", java[0].unionByName(web[0], allowMissingColumns=True))
-    store.write("call_edges", java[1].unionByName(web[1]))
-    card = cards(files, modules)
-    for plugin in plugins:
-        if plugin.phase == "asset":
-            card = card.unionByName(plugin.scan(files), allowMissingColumns=True)
-    store.write("cards", card, ["scope"])
-    store.write("chunks", S.embed_table(chunks(store.read("cards"), store.read("apis")), "text", embed))
-    store.write("index", index(store.read("chunks")))
+    store.write("flow_edges", more(edges, "flow"))
+    graphs = call_graph_java(files), call_graph_others(files), call_graph_frontend(files)
+    store.write("call_nodes", owned(R.union_all([g[0] for g in graphs]), modules))
+    store.write("call_edges", R.union_all([g[1] for g in graphs]))
+    for name, df in frontend_tables(files).items():
+        store.write(name, df)
+    parsers = {"java": (code.java_methods, ".java"), "go": (code.go_calls, ".go"), "python": (code.python_methods, ".py"), "routes": (code.routes, ".ts"), "yml": (code.yml_pairs, ".yml")}
+    store.write("errors", R.union_all([extract(files, parse, "", suffixes=[suffix], errors=True).withColumn("parser", F.lit(name)) for name, (parse, suffix) in parsers.items()]))
+    by_hand = store.read("manual_cards", schemas.CARD)
+    gone = store.read("removed_cards", "id string, source_path string")
+    scanned = more(cards(files, modules), "asset").join(gone, "id", "left_anti")
+    store.write("cards", R.prefer(by_hand, scanned.select(*by_hand.columns), ["id"]), ["scope"])
+    reindex(store, embed)
     units = modules.select(F.col("slug").alias("unit"), "path")
     store.write("snapshot", files_.tracked(files, units, "path", "unit").unionByName(files_.hashes(files).select(F.lit("").alias("unit"), "path", "sha256")))
+
+
+def reindex(store: Store, embed: S.Embed | None = None) -> None:
+    """Chunks and the index follow cards and endpoints (M4, M8); texts that didn't change keep their vectors."""
+    want = chunks(store.read("cards", schemas.CARD), store.read("apis", schemas.API))
+    if store.exists("chunks"):
+        old = store.read("chunks")
+        same = want.join(old.select("id", "text", "embedding"), ["id", "text"])
+        new = S.embed_table(want.join(old.select("id", "text"), ["id", "text"], "left_anti"), "text", embed)
+        store.write("chunks", new.unionByName(same.select(*new.columns)))
+    else:
+        store.write("chunks", S.embed_table(want, "text", embed))
+    store.write("index", index(store.read("chunks")))
+
+
+def start_init(spark: SparkSession, root: str, out: str, rules: Rules | None = None, embed: S.Embed | None = None, plugins: Sequence[Plugin] = ()) -> Store:
+    """Scans root and writes every table of the knowledge base to out (Q21): one file scan, shared by all extractors.
+
+    The scan is written first, so that no extractor lists or reads the source tree again. Without rules those that
+    the sources and the manual ones say are used.
+    """
+    store = Store(spark, out)
+    store.write("files", files_.scan(spark, root))
+    store.write("removed_cards", spark.createDataFrame([], "id string, source_path string"))
+    _build(store, store.read("files"), rules, embed, plugins)
     return store
 
 
@@ -244,41 +357,55 @@ def documents(store: Store) -> DataFrame:
     return api.select(F.concat(F.lit("backend/"), "module_slug", F.lit("/api.md")).alias("path"), "markdown").unionByName(card.select(F.concat(F.concat_ws("/", "scope", "module_slug", "kind"), F.lit(".md")).alias("path"), "markdown"))
 
 
-def sync(spark: SparkSession, root: str, store: Store, rules: Rules = (), dry_run: bool = False, embed: S.Embed | None = None) -> DataFrame:
-    """(path, bucket) of what changed since the last scan; unless dry, the tables are brought up to date (M5, M6, M7, M9).
+def audit(spark: SparkSession, root: str, store: Store, since: str | None = None, paths: Sequence[str] = (), ignore: Sequence[str] = files_.IGNORED) -> DataFrame:
+    """(path, bucket) of what changed since the last scan, or since a commit of the tree's git history (M5, Q10).
 
-    Only cards and chunks of changed files are made anew; the rest keep their rows and vectors.
+    paths keeps those only (none keeps all). Without a scan there is nothing to compare with, which raises.
     """
-    now = files_.scan(spark, root).persist()
-    try:
-        return _sync(spark, now, store, rules, dry_run, embed)
-    finally:
-        now.unpersist()  # the same scan later must read the tree again
-
+    if not store.exists("snapshot"):
+        raise FileNotFoundError("no scan yet: run start_init first")
+    return _buckets(spark, root, store, files_.rescan(spark, root, store.read("files")), since, paths, ignore)
 
-def _sync(spark: SparkSession, now: DataFrame, store: Store, rules: Rules, dry_run: bool, embed: S.Embed | None) -> DataFrame:
-    from lodestone.operators.audit import classify
 
+def _buckets(spark: SparkSession, root: str, store: Store, now: DataFrame, since: str | None, paths: Sequence[str], ignore: Sequence[str]) -> DataFrame:
     before = store.read("snapshot").where("unit = ''").select("path", "sha256")
     diff = R.snapshot_diff(before, files_.hashes(now), "path", "sha256")
+    if since:
+        changed = files_.git_changed(spark, re.sub(r"^file:/+", "/", root), since)
+        diff = diff.where("status = 'deleted'").unionByName(now.select("path").join(changed, "path", "left_semi").select("path", F.lit("modified").alias("status")))
     indexed = store.read("cards").select(F.col("source_path").alias("path")).unionByName(store.read("apis").select(F.col("file").alias("path")))
-    buckets = spark.createDataFrame(classify(diff, indexed, "path").collect(), "path string, bucket string")
+    return classify(diff, indexed, "path", ignore, paths)
+
+
+def sync(spark: SparkSession, root: str, store: Store, rules: Rules | None = None, dry_run: bool = False, embed: S.Embed | None = None, since: str | None = None, paths: Sequence[str] = (), plugins: Sequence[Plugin] = ()) -> DataFrame:
+    """(path, bucket) of what changed since the last scan; unless dry, all tables are brought up to date (M5, M6, M7, M9, Q11).
+
+    Of the tree only files with another size or time are read. If any changed, every table is made anew from the
+    files as they are now, with paths from those alone and the others as they were, so graphs never mix two states;
+    vectors of unchanged texts are kept. affected_units, written too, names the modules that hold a change.
+    """
+    found = audit(spark, root, store, since, paths)
     if dry_run:
-        return buckets
-    touched = buckets.select("path")
-    modules = files_.maven_modules(now)
-    fresh_files = now.join(touched, "path", "left_semi")
-    card = R.delete_ids(store.read("cards"), touched.withColumnRenamed("path", "source_path"), ["source_path"]).unionByName(cards(fresh_files, modules))
-    store.write("cards", card, ["scope"])
-    api = R.delete_ids(store.read("apis"), touched.withColumnRenamed("path", "file"), ["file"]).unionByName(apis(fresh_files, modules, rules))
-    store.write("apis", api)
-    want = chunks(store.read("cards"), store.read("apis"))
-    old = store.read("chunks")
-    same = old.join(want.select("id", "text"), ["id", "text"], "left_semi")
-    new = want.join(old.select("id", "text"), ["id", "text"], "left_anti")
-    store.write("chunks", same.unionByName(S.embed_table(new, "text", embed).select(*old.columns)))
-    store.write("index", index(store.read("chunks")))
-    units = modules.select(F.col("slug").alias("unit"), "path")
-    store.write("snapshot", files_.tracked(now, units, "path", "unit").unionByName(files_.hashes(now).select(F.lit("").alias("unit"), "path", "sha256")))
+        return found
+    store.write("last_sync", found)  # the answer must not change when the tables below do
+    found = store.read("last_sync")
+    old, now = store.read("files"), files_.rescan(spark, root, store.read("files"))
+    if paths:
+        some = F.col("path").isin(list(paths))
+        now = now.where(some).unionByName(old.where(~some).select(*now.columns))
+    hashed = lambda df: files_.hashes(df)
+    changed = R.snapshot_diff(hashed(old), hashed(now), "path", "sha256").where("status <> 'unchanged'").select("path")
+    if changed.isEmpty():
+        return found
+    store.write("changed", changed)
     store.write("files", now)
-    return buckets
+    # cards that were removed by hand come back when their file changes; those made by hand go with their file
+    touched = store.read("changed").withColumnRenamed("path", "source_path")
+    store.write("removed_cards", R.delete_ids(store.read("removed_cards", "id string, source_path string"), touched, ["source_path"]))
+    lost = touched.join(store.read("files").select(F.col("path").alias("source_path")), "source_path", "left_anti")
+    store.write("manual_cards", R.delete_ids(store.read("manual_cards", schemas.CARD), lost, ["source_path"]))
+    files = store.read("files")
+    _build(store, files, rules, embed, plugins)
+    units = store.read("modules").select(F.concat(F.lit("/"), "path").alias("unit"))
+    store.write("affected_units", affected_units(store.read("changed").select(F.concat(F.lit("/"), "path").alias("at")), "at", units, "unit"))
+    return found

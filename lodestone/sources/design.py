@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -83,6 +83,125 @@ def manifest(files: DataFrame, types: tuple[str, ...] = ("auth", "list", "form",
     )
 
 
+PAGE = "id string, title string, components array<string>, source_path string, warnings array<string>"
+PROFILE = "tool string, source_path string, role string, synced_at timestamp"
+BINDING = "semantic_id string, library string, framework string, module string, component string, props string"
+
+
+def design_systems(files: DataFrame) -> dict[str, DataFrame]:
+    """tokens, components and pages of design projects with several systems.
+
+    A project's _d_meta.json names its systems (slug, dsFolder) and pages (assets with versions); a system's folder has
+    _ds_manifest.json with its components, a prompt for each, and tokens.css or styles.css. Without a project file each
+    folder with a manifest is a system. The last system wins a token or component that several have; components
+    without a prompt get a warning instead of a description.
+    """
+    folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    meta = files.where(base(F.col("path")) == "_d_meta.json").select(folder(F.col("path")).alias("_root"), F.from_json(F.regexp_replace("content", "^\ufeff", ""), "primaryDesignSystem string, designSystems array<struct<slug:string,dsFolder:string>>, assets map<string,struct<versions:array<struct<path:string>>>>").alias("m"))
+    system = meta.select("_root", F.posexplode("m.designSystems").alias("rank", "s")).select(F.concat_ws("/", F.nullif("_root", F.lit("")), F.coalesce("s.dsFolder", F.concat(F.lit("_ds/"), "s.slug"))).alias("at"), "rank")
+    manifests = files.where(base(F.col("path")) == "_ds_manifest.json").select(folder(F.col("path")).alias("at"), F.from_json(F.regexp_replace("content", "^\ufeff", ""), "components array<string>").alias("m"))
+    ranked = manifests.join(system, "at", "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
+    listed = ranked.select("at", "rank", F.explode("m.components").alias("c"))
+    own = F.coalesce(F.get_json_object("c", "$.id"), F.get_json_object("c", "$.name"))
+    wanted = listed.select("at", "rank", F.when(F.startswith("c", F.lit("{")), own).otherwise(F.col("c")).alias("id")).where("id IS NOT NULL")
+    prompts = files.where(F.endswith("path", F.lit(".prompt.md"))).select(F.regexp_extract("path", r"^(.*?)/?components/", 1).alias("at"), F.regexp_replace(base(F.col("path")), r"\.prompt\.md$", "").alias("id"), "content", "path")
+    said = R.first_wins(prompts, ["at", "id"], [F.desc(F.length("path")), "path"])
+    role = F.nullif(F.trim(F.regexp_extract("content", r"^#[^\n]*\n+([^\n#]+)", 1)), F.lit(""))
+    parts = wanted.join(said, ["at", "id"], "left").select("id", F.coalesce(role, F.lit("")).alias("description"), F.when(F.col("content").isNull(), "no-prompt").otherwise("described").alias("status"), "rank", "at")
+    sheets = files.where(base(F.col("path")).isin("tokens.css", "styles.css")).select("path", F.regexp_replace(folder(F.col("path")), "/?(tokens|styles|css)$", "").alias("at")).join(ranked.select("at", "rank"), "at")
+    inlined = inline_imports(files).join(sheets, "path")
+    tokens = inlined.select("at", "rank", "path", F.explode(T.css_properties(F.col("content"))).alias("name", "value"))
+    last = R.last_wins(tokens, ["name"], ["rank", "path"])
+    asset = meta.select("_root", F.explode("m.assets").alias("title", "a")).select("_root", "title", F.element_at("a.versions", -1)["path"].alias("file")).where("file IS NOT NULL")
+    slug = F.coalesce(F.nullif(T.slug(F.col("title")), F.lit("")), T.slug(F.regexp_replace(base(F.col("file")), r"\.\w+$", "")))
+    none = F.array().cast("array<string>")
+    return {
+        "tokens": last.select("name", "value", T.ordered_bucket(F.regexp_replace("name", "^--", ""), T.TOKEN_BUCKETS).alias("bucket")),
+        "components": R.last_wins(parts, ["id"], ["rank", "at"]).select("id", "description", "status"),
+        "pages": asset.select(slug.alias("id"), "title", none.alias("components"), F.concat_ws("/", F.nullif("_root", F.lit("")), "file").alias("source_path"), none.alias("warnings")),
+    }
+
+
+def v0_pages(files: DataFrame) -> DataFrame:
+    """Pages of folders with a page.manifest.json, and the page.tsx and page.logic.md beside it.
+
+    Warnings say when the manifest is not approved, when there is no page.tsx, and when page.tsx looks like another page type.
+    """
+    at = F.regexp_replace("path", "/?[^/]*$", "")
+    name = F.element_at(F.split("path", "/"), -1)
+    m = files.where(name == "page.manifest.json").select(at.alias("at"), "path", F.from_json("content", "id string, title string, pageType string, status string").alias("m")).where("m.id IS NOT NULL")
+    tsx = files.where(name == "page.tsx").select(at.alias("at"), F.col("content").alias("_tsx"))
+    both = m.join(tsx, "at", "left").withColumn("_kind", page_type(F.col("_tsx")))
+    warn = F.array_compact(
+        F.array(
+            F.when(F.coalesce(F.col("m.status"), F.lit("approved")) != "approved", F.concat(F.lit("status is "), "m.status")),
+            F.when(F.col("_tsx").isNull(), F.lit("no page.tsx")),
+            F.when(F.col("_tsx").isNotNull() & (F.col("_kind") != F.col("m.pageType")) & (F.col("_kind") != "detail"), F.concat(F.lit("page.tsx looks like "), "_kind")),
+        )
+    )
+    return both.select("m.id", F.coalesce("m.title", "m.id").alias("title"), F.coalesce(T.data_components(F.col("_tsx")), F.array().cast("array<string>")).alias("components"), F.col("path").alias("source_path"), warn.alias("warnings"))
+
+
+def profile(files: DataFrame) -> DataFrame:
+    """(tool, source_path, role, synced_at): the design sources that files have, one row each."""
+    name = F.element_at(F.split("path", "/"), -1)
+    tool = (
+        F.when(name == "_d_meta.json", "design-project").when(name == "_ds_manifest.json", "design-system").when(name == "page.manifest.json", "page")
+        .when(F.endswith("path", F.lit(".json")) & F.contains("content", F.lit('"variables"')), "variables").when(F.endswith("path", F.lit(".css")), "style-sheet").when(F.col("path").rlike(r"\.html?$"), "html")
+    )
+    role = F.when(tool.isin("design-project", "design-system", "variables"), "primary").otherwise("secondary")
+    return files.select(tool.alias("tool"), F.col("path").alias("source_path"), role.alias("role"), F.current_timestamp().alias("synced_at")).where("tool IS NOT NULL")
+
+
+def affected(changed: DataFrame) -> DataFrame:
+    """One row of flags tokens, style, components, pages: what a set of changed paths bears on."""
+    name = F.element_at(F.split("path", "/"), -1)
+    hit = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return changed.agg(
+        hit(F.endswith(name, F.lit(".css")) | (F.endswith(name, F.lit(".json")) & ~name.isin("_d_meta.json", "page.manifest.json", "manifest.json"))).alias("tokens"),
+        hit(name.isin("_ds_prompt.md", "README.md")).alias("style"),
+        hit((name == "_ds_manifest.json") | F.endswith(name, F.lit(".prompt.md")) | (F.endswith(name, F.lit(".json")) & ~name.isin("_d_meta.json", "page.manifest.json", "manifest.json"))).alias("components"),
+        hit(name.isin("_d_meta.json", "page.manifest.json", "page.logic.md", "page.tsx") | name.rlike(r"(?i)\.html?$")).alias("pages"),
+    )
+
+
+SEMANTIC = "PrimaryButton SecondaryButton Card PageHeader Input Select Checkbox Radio Switch Form Table Modal Alert EmptyState SkeletonList Tabs Breadcrumb Pagination Tag Tooltip Dropdown Toast".split()
+_USUAL = {"PrimaryButton": "Button", "SecondaryButton": "Button", "EmptyState": "Empty", "SkeletonList": "Skeleton"}
+_SHADCN, _MUI = "@/components/ui/{lower}", "@mui/material"
+#: Libraries: framework, aliases, module, prefix of names, names that are not the usual ones, properties.
+LIBRARIES: dict[str, tuple[str, tuple[str, ...], str, str, dict[str, str], dict[str, str]]] = {
+    "element-plus": ("vue", ("elementplus", "el-plus"), "element-plus", "El", {"Modal": "Dialog", "Toast": "Message"}, {"PrimaryButton": '{"type":"primary"}', "SkeletonList": '{"rows":4,"animated":true}'}),
+    "ant-design-vue": ("vue", ("antd-vue", "antdv"), "ant-design-vue", "A", {"Toast": "=message"}, {"PrimaryButton": '{"type":"primary"}', "SkeletonList": '{"active":true}'}),
+    "antd": ("react", ("ant-design", "antd-react"), "antd", "", {"Toast": "=message"}, {"PrimaryButton": '{"type":"primary"}', "SkeletonList": '{"active":true}'}),
+    "shadcn/ui": ("react", ("shadcn", "shadcn-ui"), _SHADCN, "", {"Radio": "RadioGroup", "Modal": "Dialog", "Tag": "Badge", "Dropdown": "DropdownMenu", "Toast": "=toast"}, {"PrimaryButton": '{"variant":"default"}', "SecondaryButton": '{"variant":"secondary"}'}),
+    "mui": ("react", ("material-ui", "@mui/material"), _MUI, "", {"PageHeader": "Typography", "Input": "TextField", "Form": "Box", "Modal": "Dialog", "EmptyState": "Typography", "Breadcrumb": "Breadcrumbs", "Tag": "Chip", "Dropdown": "Menu", "Toast": "Snackbar"}, {"PrimaryButton": '{"variant":"contained","color":"primary"}', "SecondaryButton": '{"variant":"outlined"}', "SkeletonList": '{"variant":"rectangular","height":48}'}),
+}
+
+
+def library_of(name: str) -> str:
+    """The library that a name or alias means, whatever its case (F30); an unknown one raises with the known names."""
+    low = name.strip().lower()
+    for key, (_, aliases, *_) in LIBRARIES.items():
+        if low in (key, *aliases):
+            return key
+    raise ValueError(f"unknown library {name}; known: {', '.join(LIBRARIES)}")
+
+
+def bindings(spark: SparkSession, library: str, framework: str) -> DataFrame:
+    """(semantic_id, library, framework, module, component, props): a library's binding of every semantic component."""
+    key = library_of(library)
+    wants, _, module, prefix, other, props = LIBRARIES[key]
+    if wants != framework:
+        raise ValueError(f"{key} is for {wants}, not {framework}")
+    rows = []
+    for sid in SEMANTIC:
+        name = other.get(sid, _USUAL.get(sid, sid))
+        name = name[1:] if name.startswith("=") else prefix + name
+        rows.append((sid, key, wants, module.format(lower=name.lower()), name, props.get(sid)))
+    return spark.createDataFrame(rows, BINDING)
+
+
 def merge_profiles(pages: DataFrame, adapter_rank: str = "rank") -> DataFrame:
     """Pages of all adapters, the best-ranked by id, with the warnings of all."""
     w = Window.partitionBy("id")

@@ -53,6 +53,16 @@ public class User {
     "web/src/UserCard.vue": '<template><p>user</p></template>\n<script>\nimport { fmt } from "./utils"\nexport default { props: ["a"], emits: ["x"] }\n</script>',
     "web/src/utils.ts": "/** Formats things.\n * More. */\nexport function fmt(x: string) { return x }\nexport enum Colour { Red }\n",
     "web/src/api/user.ts": 'export const getUser = (id) => http.get(`/users/${id}`)\n',
+    "shop/src/main/java/com/x/config/WebProps.java": 'package com.x.config;\n@ConfigurationProperties(prefix = "shop.web")\npublic class WebProps { private Api adminApi = new Api("/admin-api", "**.controller.**"); }\n',
+    "shop/src/main/resources/META-INF/spring.factories": "org.springframework.boot.autoconfigure.EnableAutoConfiguration=\\\n com.x.config.WebProps\n",
+    "shop/src/main/proto/stock.proto": "service Stock {\n  rpc Reserve (Req) returns (Resp);\n}\n",
+    "svc/router.go": 'package main\ntype Parcel struct {\n\tID int `json:"id"`\n\tWeight float64\n}\nfunc setup(r *gin.Engine) {\n\tv := r.Group("/v1")\n\tv.POST("/parcels", create)\n}\nfunc (p *Packer) Pack(x int) {\n\tbox.Seal(x)\n}\n',
+    "svc/box.go": "package main\nfunc Seal(x int) {\n}\n",
+    "py/main.py": 'router = APIRouter(prefix="/py")\n\n@router.get("/ping")\nasync def ping():\n    return Report.build(1)\n',
+    "py/report.py": "class Report(BaseModel):\n    title: str\n    pages: int = 1\n\n    def build(self):\n        self.check()\n\n    def check(self):\n        pass\n\nclass Helper:\n    x: int\n",
+    "web/package.json": '{"name": "@x/web", "dependencies": {"vue": "^3"}}',
+    "web/src/router.ts": 'const routes = [{ path: "/admin", children: [{ path: "users", name: "Users" }] }]',
+    "web/src/store.ts": 'export const useCart = defineStore("cart", { state: () => ({ items: [] }), actions: { add() {} } })',
     "node_modules/x/pom.xml": "<project/>",
 }
 
@@ -88,7 +98,7 @@ def test_modules_and_owners(files, modules):
 
 
 def test_openapi_wins_over_java(files, modules):
-    got = {(r["method"], r["path"]): (r["source"], r["audience"], r["summary"]) for r in K.apis(files, modules).collect()}
+    got = {(r["method"], r["path"]): (r["source"], r["audience"], r["summary"]) for r in K.apis(files, modules).where("source IN ('openapi', 'java')").collect()}
     assert got == {("POST", "/orders/create"): ("openapi", "public", "Create it"), ("GET", "/internal/health"): ("openapi", "internal", "/internal/health"), ("GET", "/orders/me"): ("java", "public", "me")}
 
 
@@ -186,11 +196,33 @@ def test_proto_yml_tables_logs(spark):
 def test_one_bad_file_costs_only_itself(spark):
     def parse(path, content):
         if content == "bad":
-            raise ValueError
+            raise ValueError("odd")
         return [(path, 1)]
 
     df = spark.createDataFrame([("a", "ok"), ("b", "bad"), ("c", None)], "path string, content string")
     assert rows(S.extract(df, parse, "file string, n int")) == [("a", 1)]
+    assert rows(S.extract(df, parse, "file string, n int", errors=True)) == [("b", "ValueError: odd")]
+
+
+def test_packages_by_globs(spark):
+    def of(*files):
+        return rows(S.packages(spark.createDataFrame(list(files), "path string, content string")))
+
+    pkg = lambda name, dep="vue": f'{{"name": "{name}", "devDependencies": {{"{dep}": "1"}}}}'
+    inner = [("packages/a/package.json", pkg("@s/a")), ("packages/b/package.json", pkg("b", "react")), ("packages/b/deep/package.json", pkg("deep")), ("apps/x/package.json", pkg("x", "lodash"))]
+    assert of(("pnpm-workspace.yaml", "packages:\n  - 'packages/*'\n  - \"!packages/b\"\n"), ("package.json", '{"name": "root", "workspaces": ["apps/*"]}'), *inner) == [("a", "@s/a", "packages/a", "vue")]
+    assert of(("package.json", '{"name": "root", "workspaces": {"packages": ["apps/*", "packages/**"]}}'), *inner) == [("a", "@s/a", "packages/a", "vue"), ("b", "b", "packages/b", "react"), ("deep", "deep", "packages/b/deep", "vue"), ("x", "x", "apps/x", None)]
+    assert of(("package.json", '{"name": "root"}'), *inner) == [("root", "root", "", None)]
+    assert of(("one/package.json", pkg("one")), ("two/package.json", pkg("two", "lodash")), *inner) == [("one", "one", "one", "vue")]
+
+
+def test_a_live_source_is_a_table_of_files(spark):
+    def fetch(url):
+        if "down" in url:
+            raise OSError
+        return "{}"
+
+    assert rows(S.http_files(spark, ["https://a.test/1", "https://down.test"], fetch)) == [("https://a.test/1", "{}"), ("https://down.test", None)]
 
 
 def test_start_init_then_sync(spark, tree, tmp_path):
@@ -212,8 +244,40 @@ def test_start_init_then_sync(spark, tree, tmp_path):
     (base / "util/NewUtils.java").write_text("public class NewUtils { }")
     want = {("DateUtils.java", "deleted"), ("State.java", "modified"), ("NewUtils.java", "unregistered")}
     dry = {(r["path"].split("/")[-1], r["bucket"]) for r in K.sync(spark, f"file://{root}", store, dry_run=True).collect()}
-    assert dry == want and "DateUtils" in {r["name"] for r in store.read("cards").collect()}
+    assert dry == want and not rows(K.audit(spark, f"file://{root}", store, paths=["nothing"])) and "DateUtils" in {r["name"] for r in store.read("cards").collect()}
     K.sync(spark, f"file://{root}", store)
     names = {r["name"] for r in store.read("cards").collect()}
     assert "DateUtils" not in names and {"NewUtils", "State"} <= names
     assert not K.sync(spark, f"file://{root}", store, dry_run=True).count()
+
+
+def test_every_language_reaches_the_tables(spark, tree, tmp_path):
+    import shutil
+
+    root = tmp_path / "repo"
+    shutil.copytree(tree, root)
+    store = K.start_init(spark, f"file://{root}", f"file://{tmp_path}/kb")
+    api = {(r["source"], r["method"], r["path"]) for r in store.read("apis").collect()}
+    assert api >= {("go", "POST", "/v1/parcels"), ("python", "GET", "/py/ping"), ("java", "GET", "/admin-api/orders/me"), ("openapi", "POST", "/orders/create")}
+    fields = {(r["entity"], r["name"], r["source"]) for r in store.read("entity_fields").collect()}
+    assert fields >= {("Parcel", "Weight", "go"), ("Report", "pages", "python")} and not any(e == "Helper" for e, *_ in fields)
+    calls = {(r["src"], r["dst"]) for r in store.read("call_edges").collect()}
+    assert calls >= {("method:Packer#Pack", "method:box#Seal"), ("method:Report#build", "method:Report#check"), ("method:main#ping", "method:Report#build"), ("method:OrderController#create", "method:OrderService#findById")}
+    assert ("Stock", "/Stock/Reserve") in {(r["interface"], r["path"]) for r in store.read("rpcs").collect()}
+    assert {r["full_path"] for r in store.read("routes").collect()} == {"/admin", "/admin/users"}
+    assert [(r["store_id"], r["state"], r["actions"]) for r in store.read("stores").collect()] == [("cart", ["items"], ["add"])]
+    assert {r["file"].split("/")[-1]: (r["props"], r["emits"]) for r in store.read("vue_contracts").collect()}["UserCard.vue"] == (["a"], ["x"])
+    assert rows(store.read("packages")) == [("web", "@x/web", "web", "vue")] and rows(store.read("starters")) == [("shop", ["com.x.config.WebProps"])]
+    assert rows(store.read("path_rules").select("prefix", "confidence")) == [("/admin-api", "high")] and not rows(store.read("errors"))
+    # a sync brings graphs up to date, not only cards
+    base = root / "shop/src/main/java/com/x"
+    (base / "Coupon.java").write_text("package com.x;\n@Entity\npublic class Coupon { @Id private Long id; }\n")
+    (base / "mapper/CouponMapper.java").write_text("package com.x.mapper;\npublic interface CouponMapper extends BaseMapper<Coupon> { }\n")
+    (base / "mapper/UserMapper.java").unlink()
+    K.sync(spark, f"file://{root}", store)
+    from lodestone.plans.api import Engine
+
+    engine = Engine(store)
+    assert {r["name"] for r in engine.query_impact("Coupon")["neighbours"].collect()} >= {"CouponMapper"}
+    assert "UserMapper" not in {r["name"] for r in engine.query_impact("User")["neighbours"].collect()}
+    assert {r["unit"] for r in store.read("affected_units").collect()} >= {"/shop"}

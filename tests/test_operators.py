@@ -146,27 +146,69 @@ def test_store_versions(spark, tmp_path):
         store.read("none")
 
 
+JAVA = {
+    "a/WebConfig.java": """package c.a;
+@EnableConfigurationProperties(WebProperties.class)
+class WebConfig { @Bean WebMvcRegistrations regs(WebProperties p) { return null; } }""",
+    "a/WebProperties.java": """package c.a;
+@ConfigurationProperties(prefix = "my.web")
+class WebProperties { Api adminApi = new Api("/admin-api", "**.controller.admin.**"); Api appApi = new Api("/app-api", "**.controller.app.**"); }""",
+    "b/OtherProperties.java": """package c.b;
+@ConfigurationProperties("other")
+class OtherProperties { Api openApi = new Api("/open", "**.controller.open.**"); Api twice = new Api("/late", "**.controller.app.**"); }""",
+    "c/Mvc.java": """package c.c;
+class Mvc implements WebMvcConfigurer { void configurePathMatch(PathMatchConfigurer x) { x.addPathPrefix("/inner", HandlerTypePredicate.forBasePackage("c.inner")); } }""",
+    "d/Auto.java": """package c.d;
+class Auto { void f(PathMatchConfigurer x) { x.addPathPrefix("/auto", c -> c.getPackageName().startsWith("c.auto")); } }""",
+}
+
+
+def test_rules_come_from_all_detectors_in_order(spark):
+    files = spark.createDataFrame(list(JAVA.items()), "path string, content string")
+    pairs = spark.createDataFrame([("my.web.admin-api.prefix", "/boss"), ("x.web.more.prefix", "more"), ("x.web.more.controller", "**.more.**"), ("x.web.half.prefix", "/half"), ("y.nope.prefix", "/n"), ("y.nope.controller", "**.n.**")], "key string, value string")
+    starters = spark.createDataFrame([("d", ["c.d.Auto", "c.gone.Nothing"])], "module string, autoconfigs array<string>")
+    got = {r["pattern"]: (r["prefix"], r["source"], r["det_rank"], r["confidence"]) for r in rules.discover(files, pairs, starters).collect()}
+    assert got == {
+        "**.controller.admin.**": ("/boss", "WebProperties.field:adminApi+yml", 1, "high"), "**.controller.app.**": ("/app-api", "WebProperties.field:appApi", 1, "high"),
+        "**.controller.open.**": ("/open", "OtherProperties.field:openApi", 3, "high"), "c.inner.**": ("/inner", "Mvc.addPathPrefix", 4, "high"), "c.auto.**": ("/auto", "Auto.addPathPrefix", 5, "high"), "**.more.**": ("/more", "yml-only:x.web.more", 6, "high"),
+    }
+    few = rules.discover(files.where("path LIKE 'c/%'"), pairs.limit(0))
+    assert [(r["prefix"], r["confidence"]) for r in few.collect()] == [("/inner", "medium")] and not rows(rules.discover(files.limit(0), pairs.limit(0)))
+
+
 def test_rules_merge(spark):
-    auto = rules.discover([spark.createDataFrame([("/a", " **.x.** ", "yml", 1, 1)], rules.RULE), spark.createDataFrame([("/b", "**.x.**", "source", 2, 1), ("/c", "**.y.**", "source", 2, 2)], rules.RULE)])
-    assert rows(auto.select("prefix", "pattern", "confidence")) == [("/a", "**.x.**", "high"), ("/c", "**.y.**", "high")]
+    auto = spark.createDataFrame([("/a", " **.x.** ", "yml"), ("/c", "**.y.**", "source")], "prefix string, pattern string, source string")
     manual = spark.createDataFrame([("/m", "**.x.**")], "prefix string, pattern string")
     assert rows(rules.merge_manual(auto, manual)) == [("/c", "**.y.**", "source", None, "high"), ("/m", "**.x.**", "manual", "yml", "high")]
     assert rows(rules.merge_manual(auto.limit(0), manual).select("source", "confidence")) == [("manual", "medium")]
     a, b = rules.rules_hash(auto).first()[0], rules.rules_hash(shuffled(spark, rows(auto), auto.schema)).first()[0]
     assert a == b
-    pairs = spark.createDataFrame([("web.admin-api.prefix", "/admin"), ("web.admin-api.controller", "**.admin.**"), ("web.app.prefix", "/app")], "key string, value string")
-    assert rows(rules.from_yml(pairs).select("prefix", "pattern")) == [("/admin", "**.admin.**")]
+    before = spark.createDataFrame([("GET", "/orders/{id}"), ("POST", "/orders"), ("GET", "/same")], "method string, path string")
+    after = spark.createDataFrame([("GET", "/admin/orders/{id}"), ("GET", "/b/orders/{id}"), ("PUT", "/x/orders"), ("GET", "/same")], "method string, path string")
+    assert rows(rules.sample_changes(before, after)) == [("GET", "/orders/{id}", "/admin/orders/{id}")]
+
+
+FACTS = {"goal": "g", "spec": "s", "plan": "p", "risk": "low", "approval": "approved", "total": 2, "done": 2, "verdict": "PASS", "findings": 0, "blockers": 0, "db_present": True, "scan_present": True}
+FACT_TYPES = "goal string, spec string, plan string, risk string, approval string, total bigint, done bigint, verdict string, findings bigint, blockers bigint, db_present boolean, scan_present boolean"
 
 
 def test_phases(spark):
-    base = {"goal": "g", "has_spec": True, "approved": True, "risk": "low", "total": 2, "done": 2, "blocked": 0, "verdict": "PASS", "findings": 0, "db_present": True, "scan_present": True}
-    cases = {"idle": {"goal": None}, "blocked": {"blocked": 1}, "brainstorming": {"has_spec": False}, "spec_pending_approval": {"risk": "high", "approved": False}, "planning": {"total": 0, "done": 0}, "implementing": {"done": 1}, "verifying": {"verdict": "none"}, "done": {}}
-    schema = "goal string, has_spec boolean, approved boolean, risk string, total int, done int, blocked int, verdict string, findings int, db_present boolean, scan_present boolean"
-    for want, change in cases.items():
-        got = status.phase(spark.createDataFrame([tuple((base | change).values())], schema)).first()
-        assert got["phase"] == want and got["loop_done"] == (want == "done")
-    md = spark.createDataFrame([("p", "- [x] a\n- [ ] b\n  - [!] c\n"), ("q", "none")], "k string, t string")
-    assert rows(status.ledger(md, "k", "t")) == [("p", 3, 1, 1), ("q", 0, 0, 0)]
+    cases = [
+        ("idle", "none", {"goal": None, "spec": None, "plan": None}), ("blocked", "start_init", {"scan_present": False}), ("blocked", "start_init", {"db_present": False}), ("brainstorming", "plan_from_spec", {"approval": None}),
+        ("spec_pending_approval", "await_spec_approval", {"risk": "high", "approval": "pending"}), ("planning", "implement_plan", {"total": 0, "done": 0}), ("planning", "plan_from_spec", {"total": 0, "done": 0, "plan": None}), ("implementing", "implement_plan", {"done": 1}),
+        ("verifying", "verify", {"verdict": "none"}), ("verifying", "finish_feature", {"verdict": "FAIL"}), ("verifying", "verify", {"findings": 2}), ("verifying", "verify", {"findings": None}), ("done", "none", {"approval": "auto_approved"}), ("idle", "auto_brainstorm", {"blockers": 1}), ("idle", "auto_brainstorm", {"spec": None, "plan": None, "approval": None, "total": 0, "done": 0}),
+    ]
+    data = [tuple((FACTS | change).values()) for _, _, change in cases]
+    got = status.phase(spark.createDataFrame([(i, *d) for i, d in enumerate(data)], f"i int, {FACT_TYPES}")).orderBy("i").collect()
+    assert [(r["phase"], r["next_action"]) for r in got] == [(a, b) for a, b, _ in cases]
+    assert all(r["loop_done"] == (r["phase"] in ("done", "brainstorming")) for r in got)  # the loop's end does not ask for an approval
+
+
+def test_ledgers_and_lines(spark):
+    md = spark.createDataFrame([("p", "- [x] a\n- [ ] b\n  * [!] c\n+ [~] d\n- [ ]\n"), ("q", "none"), ("r", ""), ("s", None), ("t", "- [X] z")], "k string, t string")
+    assert rows(status.ledger(md, "k", "t")) == [("p", 4, 1, 2, False, False), ("q", 0, 0, 0, False, True), ("r", 0, 0, 0, False, False), ("s", 0, 0, 0, False, False), ("t", 1, 1, 0, True, False)]
+    assert one(spark, status.current_task(F.col("a")), a="# T\n- [x] a\n- [ ] b c \n- [ ] d") == "b c" and one(spark, status.current_task(F.col("a")), a="- [x] a") is None
+    assert one(spark, status.goal(F.col("a")), a="# Head\n<!-- c -->\n\n  Ship it \nMore") == "Ship it" and len(one(spark, status.goal(F.col("a")), a="y" * 300)) == 120
 
 
 def one(spark, expr, **values):
@@ -195,3 +237,41 @@ def test_markdown_is_in_order_and_escaped(spark):
     df = shuffled(spark, [("m", "b", "x|y"), ("m", "a", "1\n2")], "g string, k string, v string")
     got = markdown_table(df, ["g"], {"k": "Key", "v": "Value"}, ["k"], F.col("g")).first()["markdown"]
     assert got == "# m\n\n| Key | Value |\n|---|---|\n| a | 1 2 |\n| b | x\\|y |\n"
+
+
+def test_deep_trees_flatten_whole(spark):
+    from lodestone.operators.tree import flatten
+
+    chain = [(str(i), str(i - 1) if i else None, f"n{i}") for i in range(40)] + [("c1", "c2", "x"), ("c2", "c1", "y"), ("lost", "nowhere", "z"), ("abs", "5", "/root")]
+    got = dict(rows(flatten(spark.createDataFrame(chain, "id string, parent string, path string"))))
+    assert len(got) == 41 and got["39"] == "/" + "/".join(f"n{i}" for i in range(40)) and got["abs"] == "/root"
+
+
+def test_json_flattens_to_dotted_keys(spark):
+    text = '{"a": {"b": {"c": 1}, "d": "x"}, "e": [1, 2], "f": null, "g": true}'
+    got = one(spark, T.flat_json(F.col("a")), a=text)
+    assert [(r["key"], r["value"]) for r in got] == [("a.b.c", "1"), ("a.d", "x"), ("e", "[1,2]"), ("f", None), ("g", "true")]
+
+
+def test_scopes_are_inferred(spark):
+    df = spark.createDataFrame([(["backend", "frontend"], "x", "util"), (["backend"], "x", "component"), ([], "x", "component"), ([], "x", "rpc"), ([], "packages/a/b.ts", "util"), ([], "src/x.ts", "util")], "k array<string>, p string, t string")
+    assert [r[0] for r in df.select(T.asset_scope(F.col("k"), F.col("p"), F.col("t"))).collect()] == ["frontend", "backend", "frontend", "backend", "frontend", "backend"]
+
+
+def test_long_texts_are_split_by_the_splitter_or_locally(spark):
+    df = spark.createDataFrame([("a", "short"), ("b", "one. " * 50), ("c", "bad " * 50), ("d", "\n\n".join("para " * 10 for _ in range(6))), ("e", None)], "k string, t string")
+    tries = []
+
+    def split(text):
+        if text.startswith("bad"):
+            raise ValueError
+        if text.startswith("one") and not tries:
+            tries.append(1)
+            raise search.RetryLater
+        return [{"title": "T", "text": "x"}, {"title": "U", "text": "y"}, {"oops": 1}] if text.startswith("one") else []
+
+    got = {}
+    for r in search.split_semantic(df, "t", split, budget=20, wait_s=0).collect():
+        got.setdefault(r["k"], []).append((r["part"], r["chunk_title"], r["chunk"]))
+    assert got["a"] == [(0, "short", "short")] and got["b"] == [(0, "T", "x"), (1, "U", "y")]
+    assert "".join(c for *_, c in got["c"]).replace("\n\n", "") == "bad " * 50 and len(got["d"]) > 1 and "e" not in got
