@@ -113,7 +113,7 @@ def design_systems(files: DataFrame) -> dict[str, DataFrame]:
     inlined = inline_imports(files).join(sheets, "path")
     tokens = inlined.select("at", "rank", "path", F.explode(T.css_properties(F.col("content"))).alias("name", "value"))
     last = R.last_wins(tokens, ["name"], ["rank", "path"])
-    asset = meta.select("_root", F.explode("m.assets").alias("title", "a")).select("_root", "title", F.element_at("a.versions", -1)["path"].alias("file")).where("file IS NOT NULL")
+    asset = meta.select("_root", F.explode("m.assets").alias("title", "a")).select("_root", "title", F.try_element_at("a.versions", F.lit(-1))["path"].alias("file")).where("file IS NOT NULL")
     slug = F.coalesce(F.nullif(T.slug(F.col("title")), F.lit("")), T.slug(F.regexp_replace(base(F.col("file")), r"\.\w+$", "")))
     none = F.array().cast("array<string>")
     return {

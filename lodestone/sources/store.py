@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions.text import escape_cell
 from lodestone.operators import relational as R
@@ -38,8 +39,9 @@ class Store:
                 raise FileNotFoundError(name)
             return self.spark.createDataFrame([], schema)
         with self.fs.open_input_stream(self._pointer(name)) as f:
-            version = json.loads(f.read())["version"]
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+            said = json.loads(f.read())
+        # the schema is kept too, as an empty table written by partition has no file to tell it
+        return self.spark.read.schema(StructType.fromJson(said["schema"])).parquet(f"{self.root}/{name}/{said['version']}")
 
     def write(self, name: str, df: DataFrame, partition: Sequence[str] = (), keep: int = 2) -> None:
         version = uuid.uuid4().hex
@@ -52,7 +54,7 @@ class Store:
             past = [said["version"], *said["past"]]
         draft = f"{self._pointer(name)}.{version}"
         with self.fs.open_output_stream(draft) as f:
-            f.write(json.dumps({"version": version, "past": past[: keep - 1]}).encode())
+            f.write(json.dumps({"version": version, "past": past[: keep - 1], "schema": df.schema.jsonValue()}).encode())
         self.fs.move(draft, self._pointer(name))
         for old in past[keep - 1 :]:
             if self.fs.get_file_info(f"{self.base}/{name}/{old}").type != pafs.FileType.NotFound:
