@@ -121,6 +121,17 @@ def as_of(left: DataFrame, right: DataFrame, keys: Names, at: str, value: str, l
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
 
 
+def enclosing(df: DataFrame, keys: Names, at: str, indent: str, name: str, is_scope: Column) -> DataFrame:
+    """df with scope, the name of the latest scope row above it that is indented less (W5); null at the top.
+
+    An equi-join on keys with the test of both orders behind it, then the latest by at: rows of one file, not all pairs.
+    """
+    scopes = df.where(is_scope).select(*keys, F.col(at).alias("_at"), F.col(indent).alias("_indent"), F.col(name).alias("_name"))
+    above = df.select(*keys, at, indent).join(scopes, list(keys)).where((F.col("_at") < F.col(at)) & (F.col("_indent") < F.col(indent)))
+    best = above.groupBy(*keys, at).agg(F.max_by("_name", "_at").alias("scope"))
+    return df.join(best, [*keys, at], "left")
+
+
 def islands(df: DataFrame, keys: Names, order: Names, value: str) -> DataFrame:
     """df with island, a number that is the same inside a run of equal values."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -109,9 +109,10 @@ JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN nation cn ON c_nationkey = c
 WHERE sn.n_name <> cn.n_name GROUP BY 1, 2""")
 def cross_repo_edges(s, d):
     nation = read(s, d, "nation").select("n_nationkey", F.col("n_name").alias("repo"))
-    home = lambda t, k, key, kind: read(s, d, t).join(nation, F.col(key) == nation["n_nationkey"]).select(_id(kind, k).alias("id"), "repo")
-    homes = home("supplier", "s_suppkey", "s_nationkey", "supplier").unionByName(home("customer", "c_custkey", "c_nationkey", "customer"))
-    edges = read(s, d, "lineitem").join(read(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(_id("supplier", "l_suppkey").alias("src"), _id("customer", "o_custkey").alias("dst"))
+    # ends of one kind on each side, so their integer keys are ids enough: suppliers positive, customers negative
+    home = lambda t, k, key, sign: read(s, d, t).join(nation, F.col(key) == nation["n_nationkey"]).select((F.col(k) * sign - int(sign < 0)).alias("id"), "repo")
+    homes = home("supplier", "s_suppkey", "s_nationkey", 1).unionByName(home("customer", "c_custkey", "c_nationkey", -1))
+    edges = read(s, d, "lineitem").join(read(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("src"), (-F.col("o_custkey") - 1).alias("dst"))
     return G.across(edges, homes).groupBy("src_repo", "dst_repo").agg(F.count("*").alias("n"))
 
 
@@ -217,12 +218,11 @@ def scope_asof_prefix(s, d):
     return R.as_of(e.where("event_type = 'purchase'"), views, ["user_id"], "ts", "view_id", ["event_id"]).select("event_id", "user_id", "view_id")
 
 
-@query("""SELECT a.conv_id, a.turn, max(u.turn) AS user_turn FROM conversations a LEFT JOIN conversations u
-ON a.conv_id = u.conv_id AND u.role = 'user' AND u.turn < a.turn WHERE a.role = 'assistant' GROUP BY 1, 2""")
+@query("""WITH c AS (SELECT conv_id, turn, turn % 3 AS indent, role FROM conversations)
+SELECT a.conv_id, a.turn, arg_max(b.turn, b.turn) AS scope FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND b.role = 'user' AND b.turn < a.turn AND b.indent < a.indent GROUP BY 1, 2""")
 def enclosing_scope(s, d):
-    c = read(s, d, "conversations").select("conv_id", "turn", "role")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return c.withColumn("user_turn", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w)).where("role = 'assistant'").select("conv_id", "turn", "user_turn")
+    c = read(s, d, "conversations").select("conv_id", "turn", (F.col("turn") % 3).alias("indent"), "role").withColumn("name", F.col("turn"))
+    return R.enclosing(c, ["conv_id"], "turn", "indent", "name", F.col("role") == "user").select("conv_id", "turn", "scope")
 
 
 @query("""WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -243,39 +243,38 @@ def anti_join_gaps(s, d):
 
 
 @query(f"""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' AND {URGENT}), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' AND {URGENT})
-SELECT k, 'orphan' AS gap FROM a WHERE k NOT IN (FROM b) UNION ALL SELECT k, 'missing' FROM b WHERE k NOT IN (FROM a)""")
+SELECT k::VARCHAR AS id, 'orphan_binding' AS kind FROM a WHERE k NOT IN (FROM b) UNION ALL SELECT k::VARCHAR, 'missing_binding' FROM b WHERE k NOT IN (FROM a)""")
 def orphan_and_missing(s, d):
-    o = read(s, d, "orders").where(URGENT).select(F.col("o_custkey").alias("k"), "o_orderstatus")
-    g = o.groupBy("k").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("f"), F.bool_or(F.col("o_orderstatus") == "O").alias("o")).where("f <> o")
-    return g.select("k", F.when(F.col("f"), "orphan").otherwise("missing").alias("gap"))
+    from lodestone.sources.design import gaps
 
+    o = read(s, d, "orders").where(URGENT).select(F.col("o_custkey").cast("string").alias("id"), "o_orderstatus")
+    pages = s.createDataFrame([], "components array<string>")
+    return gaps(pages, o.where("o_orderstatus = 'O'").select("id"), o.where("o_orderstatus = 'F'").select("id"))
 
-VOCABULARY = ["red widget", "blue", "Steel", "tiny bolt", "large gear", "gear"]
 
-
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), v AS (SELECT * FROM (VALUES ('red widget'), ('blue'), ('Steel'), ('tiny bolt'), ('large gear'), ('gear')) t(term)),
-x AS (SELECT p_name, term, CASE WHEN p_name = term THEN 100 WHEN lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(term, '[^A-Za-z0-9]', '', 'g')) THEN 80
-  WHEN starts_with(lower(p_name), lower(term)) OR ends_with(lower(p_name), lower(term)) THEN 40 WHEN contains(lower(p_name), lower(term)) THEN 30 ELSE 0 END AS score FROM n, v),
-b AS (SELECT *, max(score) OVER (PARTITION BY p_name) AS best FROM x WHERE score > 0)
-SELECT p_name, term, score::BIGINT AS score, count(*) OVER (PARTITION BY p_name) AS ties FROM b WHERE score = best QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY term) = 1""")
+@query("""WITH n AS (SELECT DISTINCT p_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS plain FROM part),
+v AS (SELECT term, regexp_replace(lower(term), '[^a-z0-9]', '', 'g') AS bound FROM (VALUES ('red widget'), ('blue'), ('Steel'), ('tiny bolt'), ('large gear'), ('gear')) t(term)),
+x AS (SELECT p_name, term, CASE WHEN p_name = term AND plain = bound THEN 100 WHEN plain = bound THEN 80
+  WHEN ends_with(plain, bound) OR ends_with(bound, plain) THEN 40 WHEN contains(plain, bound) OR contains(bound, plain) THEN 30 ELSE 0 END AS score FROM n, v),
+b AS (SELECT *, max(score) OVER (PARTITION BY p_name) AS best FROM x WHERE score > 0),
+f AS (SELECT p_name, term, score, count(*) OVER (PARTITION BY p_name) AS ties FROM b WHERE score = best QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY term) = 1)
+SELECT n.p_name AS name, term AS semantic_id, CASE WHEN score >= 80 THEN 'high' WHEN score IS NOT NULL THEN 'low' ELSE 'none' END AS confidence, coalesce(ties, 0)::BIGINT AS ties FROM n LEFT JOIN f USING (p_name)""")
 def fuzzy_align_best(s, d):
-    names = read(s, d, "part").select("p_name").distinct()
-    vocabulary = F.explode(F.array(*map(F.lit, VOCABULARY))).alias("term")
-    a, b = F.col("p_name"), F.col("term")
-    plain = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    low, term = F.lower(a), F.lower(b)
-    score = F.when(a == b, 100).when(plain(a) == plain(b), 80).when(F.startswith(low, term) | F.endswith(low, term), 40).when(F.contains(low, term), 30).otherwise(0)
-    scored = names.select("p_name", vocabulary).withColumn("score", score.cast("bigint")).where("score > 0")
-    return R.best_matches(scored, ["p_name"], "score", "term").select("p_name", "term", "score", "ties")
-
-
-@query(f"""WITH p AS (SELECT page_id, {PATH} AS path FROM pages)
-SELECT page_id, path AS raw_path, regexp_replace(regexp_replace(path, '/$', ''), '\\.html$', '') AS norm FROM p
-WHERE starts_with(path, regexp_replace(regexp_replace(path, '/$', ''), '\\.html$', '')) AND path <> regexp_replace(regexp_replace(path, '/$', ''), '\\.html$', '') ORDER BY page_id LIMIT 5""")
+    from lodestone.sources.design import align
+
+    names = read(s, d, "part").select(F.lit("part").alias("package"), F.col("p_name").alias("name")).distinct()
+    bound = s.range(1).select(F.explode(F.array(*map(F.lit, ["red widget", "blue", "Steel", "tiny bolt", "large gear", "gear"]))).alias("semantic_id"))
+    return align(names, bound.withColumn("component", F.col("semantic_id"))).select("name", "semantic_id", "confidence", "ties")
+
+
+@query(f"""WITH b AS (SELECT DISTINCT {PATH} AS path FROM pages WHERE page_id % 2 = 0), a AS (SELECT DISTINCT '/api' || {PATH} AS path FROM pages WHERE page_id % 3 = 0)
+SELECT 'GET' AS method, b.path AS before, min(a.path) AS after FROM b JOIN a ON ends_with(a.path, b.path) AND a.path <> b.path GROUP BY b.path ORDER BY before LIMIT 5""")
 def suffix_rename_samples(s, d):
-    p = read(s, d, "pages").select("page_id", _path().alias("raw_path"))
-    p = p.withColumn("norm", F.regexp_replace(F.regexp_replace("raw_path", "/$", ""), r"\.html$", ""))
-    return p.where(F.startswith("raw_path", F.col("norm")) & (F.col("raw_path") != F.col("norm"))).orderBy("page_id").limit(5)
+    from lodestone.operators.rules import sample_changes
+
+    p = read(s, d, "pages").select("page_id", F.lit("GET").alias("method"), _path().alias("path"))
+    after = p.where("page_id % 3 = 0").withColumn("path", F.concat(F.lit("/api"), "path"))
+    return sample_changes(p.where("page_id % 2 = 0"), after)
 
 
 @query("""SELECT (SELECT count(*) FROM nation)::BIGINT AS modules, (SELECT count(*) FROM part)::BIGINT AS entities,
@@ -492,14 +491,17 @@ def html_title_regions(s, d):
     return read(s, d, "pages").select("page_id", T.html_title(html, _id("page", "page_id")).alias("title"), links.alias("n_links"), nav.alias("n_nav")).withColumn("title", F.regexp_replace("title", "^page:", "page-"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
-SELECT doc_id, n::INTEGER AS line_no, 'num' AS kind, unnest(regexp_extract_all(line, '[0-9]{3,}')) AS hit FROM l
-UNION ALL SELECT doc_id, n::INTEGER, 'mail', unnest(regexp_extract_all(line, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) FROM l""")
+@query(r"""WITH c AS (SELECT doc_id, string_split(string_split(text, chr(10))[1] || chr(10) || '.a { color: #' || lpad(lower(hex(doc_id % 4096)), 3, '0') || '; margin: ' || (doc_id % 7) || 'px }', chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM c),
+h AS (SELECT doc_id, n, 'hex' AS kind, unnest(regexp_extract_all(line, '#(?:[0-9a-fA-F]{8}|[0-9a-fA-F]{6}|[0-9a-fA-F]{3})(?:$|[^0-9a-zA-Z])')) AS hit FROM l
+  UNION ALL SELECT doc_id, n, 'px', unnest(regexp_extract_all(line, ' [0-9]+px')) FROM l)
+SELECT 'd' || doc_id || '.css' AS path, n::INTEGER AS line, kind, trim(regexp_replace(hit, '[^0-9a-zA-Z#]$', '')) AS match FROM h WHERE trim(hit) NOT IN ('0px', '1px')""")
 def line_violations(s, d):
-    lines = read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    hits = lambda kind, p: F.transform(F.regexp_extract_all("line", F.lit(p), 0), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("hit")))
-    both = F.explode(F.concat(hits("num", "[0-9]{3,}"), hits("mail", "[A-Za-z0-9._]+@[A-Za-z0-9.]+"))).alias("v")
-    return lines.select("doc_id", (F.col("n") + 1).alias("line_no"), both).select("doc_id", "line_no", "v.kind", "v.hit")
+    from lodestone.sources.design import violations
+
+    rule = F.concat(F.lit(".a { color: #"), F.lpad(F.lower(F.hex(F.col("doc_id") % 4096)), 3, "0"), F.lit("; margin: "), (F.col("doc_id") % 7).cast("string"), F.lit("px }"))
+    sheet = F.concat_ws("\n", F.element_at(F.split("text", "\n"), 1), rule)
+    return violations(read(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".css")).alias("path"), sheet.alias("content")))
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^(red|blue|green)') THEN 'colors' WHEN regexp_matches(p_name, 'bolt|gear') THEN 'hardware' WHEN regexp_matches(p_name, '^.{1,9}$') THEN 'short' ELSE 'other' END AS bucket FROM part")
@@ -520,7 +522,7 @@ def normalize_paths(s, d):
 
 @query("""SELECT event_id, k.key AS key, json_extract_string(props, '$.' || k.key) AS value FROM events, unnest(json_keys(props)) AS k(key)""")
 def json_props(s, d):
-    return read(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    return read(s, d, "events").select("event_id", F.explode(T.flat_json(F.col("props"))).alias("p")).select("event_id", "p.key", "p.value")
 
 
 @query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:2], chr(10)) AS section FROM documents WHERE len(string_split(text, chr(10))) >= 2")
@@ -540,13 +542,18 @@ def route_flatten_recursive(s, d):
     ]
     from lodestone.operators.tree import flatten
 
-    return flatten(R.union_all(rows), levels=3).where(F.startswith("id", F.lit("c:"))).select("path")
+    return flatten(R.union_all(rows)).where(F.startswith("id", F.lit("c:"))).select("path")
 
 
-@query("SELECT r_name AS node, count(*)::BIGINT AS n_children, string_agg(n_name, ',' ORDER BY n_name) AS children FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
+@query("""WITH c AS (SELECT lower(r_name) || '/' || lower(n_name) AS path, r_name, n_name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT lower(r_name) AS path, 'scope' AS kind, NULL AS parent, string_agg(DISTINCT path, ',' ORDER BY path) AS children, 0::BIGINT AS n_chunks FROM c GROUP BY 1
+UNION ALL SELECT path, 'module', lower(min(r_name)), '', count(*)::BIGINT FROM c GROUP BY path""")
 def tree_children(s, d):
-    n = read(s, d, "nation").join(read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.groupBy(F.col("r_name").alias("node")).agg(F.count("*").alias("n_children"), F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("children"))
+    from lodestone.plans.knowledge import index
+
+    n = read(s, d, "nation").join(read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(read(s, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
+    chunks = n.select(F.concat_ws("/", F.lower("r_name"), F.lower("n_name")).alias("path"), F.col("c_custkey").cast("string").alias("id"))
+    return index(chunks).select("path", "kind", "parent", F.array_join("children", ",").alias("children"), F.size("chunks").cast("bigint").alias("n_chunks"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') THEN 'high' WHEN n_chars > 3200 THEN 'medium' WHEN contains(lower(text), 'license') THEN 'medium' ELSE 'low' END AS risk FROM documents")
@@ -556,18 +563,33 @@ def risk_rules(s, d):
     return read(s, d, "documents").select("doc_id", risk(F.col("text"), F.col("n_chars"), ["license"], 3200).alias("risk"))
 
 
-@query("""WITH f AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS done, count(*) FILTER (WHERE event_type = 'error') AS blocked FROM events GROUP BY user_id)
-SELECT user_id, CASE WHEN total = 0 THEN 'idle' WHEN blocked * 4 > total THEN 'blocked' WHEN done = 0 THEN 'planning' WHEN done < total - done THEN 'implementing' ELSE 'verifying' END AS phase FROM f""")
+@query("""WITH f AS (SELECT user_id, CASE WHEN user_id % 5 <> 0 THEN 'g' END AS goal, CASE WHEN user_id % 3 <> 0 THEN 's' END AS spec, CASE WHEN user_id % 7 = 0 THEN 'high' ELSE 'low' END AS risk,
+  CASE WHEN user_id % 4 <> 0 THEN 'approved' END AS approval, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS done FROM events GROUP BY user_id),
+p AS (SELECT *, CASE WHEN user_id % 11 = 0 THEN 'blocked' WHEN spec IS NULL AND goal IS NULL AND total % 2 = 1 THEN 'idle' WHEN risk = 'high' AND approval IS NULL THEN 'spec_pending_approval'
+  WHEN spec IS NOT NULL AND approval IS NULL THEN 'brainstorming' WHEN done < total THEN 'implementing' WHEN user_id % 2 = 0 THEN 'verifying'
+  WHEN goal IS NOT NULL AND total % 2 = 0 THEN 'done' ELSE 'idle' END AS phase FROM f)
+SELECT user_id, phase, CASE phase WHEN 'blocked' THEN 'start_init' WHEN 'done' THEN 'none' WHEN 'spec_pending_approval' THEN 'await_spec_approval' WHEN 'verifying' THEN 'finish_feature' WHEN 'implementing' THEN 'implement_plan'
+  WHEN 'brainstorming' THEN 'plan_from_spec' ELSE CASE WHEN goal IS NULL THEN 'none' ELSE 'auto_brainstorm' END END AS next_action FROM p""")
 def status_phase(s, d):
-    f = read(s, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") == "error").alias("blocked"))
-    phase = F.when(F.col("total") == 0, "idle").when(F.col("blocked") * 4 > F.col("total"), "blocked").when(F.col("done") == 0, "planning").when(F.col("done") < F.col("total") - F.col("done"), "implementing").otherwise("verifying")
-    return f.select("user_id", phase.alias("phase"))
+    from lodestone.operators.status import phase
 
+    u, null = F.col("user_id"), F.lit(None).cast("string")
+    when = lambda test, value, other=null: F.when(test, F.lit(value)).otherwise(other)
+    f = read(s, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("done"))
+    f = f.select(
+        "user_id", "total", "done", when(u % 5 != 0, "g").alias("goal"), when(u % 3 != 0, "s").alias("spec"), when(F.col("total") % 2 == 0, "p").alias("plan"), when(u % 7 == 0, "high", F.lit("low")).alias("risk"), when(u % 4 != 0, "approved").alias("approval"),
+        when(u % 2 == 0, "FAIL", F.lit("PASS")).alias("verdict"), F.lit(0).cast("bigint").alias("findings"), F.lit(0).cast("bigint").alias("blockers"), F.lit(True).alias("db_present"), (u % 11 != 0).alias("scan_present"),
+    )
+    return phase(f).select("user_id", "phase", "next_action")
 
-@query("""SELECT o_custkey, count(*)::BIGINT AS total, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS done, count(*) FILTER (WHERE o_orderstatus = 'P')::BIGINT AS blocked, bool_and(o_orderstatus = 'F') AS all_done FROM orders GROUP BY o_custkey""")
+
+@query("""SELECT o_custkey, count(*)::BIGINT AS total, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS done, count(*) FILTER (WHERE o_orderstatus = 'P')::BIGINT AS blocked, bool_and(o_orderstatus = 'F') AS all_done, false AS drift FROM orders GROUP BY o_custkey""")
 def task_ledger(s, d):
-    is_ = lambda x: F.col("o_orderstatus") == x
-    return read(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"), F.count_if(is_("F")).alias("done"), F.count_if(is_("P")).alias("blocked"), F.bool_and(is_("F")).alias("all_done"))
+    from lodestone.operators.status import ledger
+
+    mark = F.when(F.col("o_orderstatus") == "F", "- [x] ").when(F.col("o_orderstatus") == "P", "* [!] ").otherwise("- [ ] ")
+    lists = read(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(F.concat(mark, F.col("o_orderkey").cast("string"))), "\n").alias("text"))
+    return ledger(lists, "o_custkey", "text")
 
 
 @query("""SELECT 'part' AS matched_in, p_name AS name FROM part WHERE p_name ILIKE '%red%' UNION ALL SELECT 'nation', n_name FROM nation WHERE n_name ILIKE '%red%'

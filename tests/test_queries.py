@@ -3,14 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, worked
 from tests.helpers import same_rows
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", [*sorted(catalogue.QUERIES), *worked.QUERIES])
 def test_query_matches_sql(name, spark, small, duck):
-    df = catalogue.QUERIES[name](spark, small)
-    same_rows(df, duck, catalogue.ORACLE[name])
+    query, sql = (catalogue.QUERIES | worked.QUERIES)[name], (catalogue.ORACLE | worked.ORACLE)[name]
+    same_rows(query(spark, small), duck, sql)
 
 
 def test_contract(spark):
