@@ -3,34 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.shared import cut, shared_dir
+
 U64 = np.uint64
 #: Bytes of text that one numpy step works on, so that its temporaries stay in tens of MB.
 STEP_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one where none is set and this machine is all there is."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if context.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(base)
-    return base
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,12 +41,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A small table with its lineage cut by checkpoint() into the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Rows of ids up to which the side of an id join is broadcast; beyond, both sides are shuffled.
 BROADCAST_IDS = 200_000
 
@@ -79,6 +62,30 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
 
 
+ARROW_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(work, schema), at whose end a worker gives the memory it freed back to the machine.
+
+    Workers live on for the tasks of later stages, so without it an executor holds what its largest task once took.
+    Rows go to Python TEXT_ROWS at a time where the session has Spark's own number, which is meant for short rows.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS, "10000") == "10000":
+        conf.set(ARROW_ROWS, str(TEXT_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library than glibc
+            pass
+
+    return df.mapInArrow(run, schema)
+
+
 def text_steps(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about step bytes; null counts as empty. No Python strings."""
     if isinstance(texts, pa.ChunkedArray):

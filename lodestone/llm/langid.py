@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import STEP_BYTES, cut, fold, text_steps
+from lodestone.llm.common import STEP_BYTES, cut, fold, in_arrow, text_steps
 
 DIMS = 4096
 #: Bounds of the labelled sample: documents of a language, and languages, those with the most documents; centroids
@@ -98,7 +98,7 @@ def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequencies(docs: DataFrame) -> tuple[int, np.ndarray, DataFrame]:
     """The number of documents and of those with each trigram, over all rows; and (lang, n_lang), counting texts that aren't empty."""
-    rows = cut(docs.select("text", "lang").mapInArrow(_frequency, "dim int, lang string, n long").groupBy("dim", "lang").agg(F.sum("n").alias("n")))
+    rows = cut(docs.select("text", "lang").transform(in_arrow, _frequency, "dim int, lang string, n long").groupBy("dim", "lang").agg(F.sum("n").alias("n")))
     dims = rows.where("dim >= -1").select("dim", "n").toPandas()
     out = np.zeros(DIMS + 1, np.int64)
     out[dims["dim"].to_numpy() + 1] = dims["n"].to_numpy()
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, clusters: int = CENTRO
     under = F.lit(1.5 * per_lang * 2.0**63) / F.col("n_lang") + F.lit(1.0)
     h = F.abs(F.xxhash64("doc_id").cast("double"))
     thin = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", "lang").join(rate, "lang").where(h <= under)
-    rows = thin.select("lang", "doc_id", h.alias("h"), "text").mapInArrow(_sparse, "lang string, doc_id long, h double, at binary, count binary").toPandas()
+    rows = thin.select("lang", "doc_id", h.alias("h"), "text").transform(in_arrow, _sparse, "lang string, doc_id long, h double, at binary, count binary").toPandas()
     langs, centres, least = [], [], []
     for lang, part in rows.groupby("lang", sort=True):
         part = part.sort_values(["h", "doc_id", "at", "count"]).head(per_lang)
@@ -200,4 +200,4 @@ def identify(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, clusters: int = C
     text counts, however long it is. Repeated rows each get a row and each count in the document frequencies.
     Ties go to the language first in the alphabet. An empty table gives no rows; without any lang all are "und".
     """
-    return docs.select("doc_id", "text").mapInArrow(_scorer(fit(docs, per_lang, clusters)), "doc_id long, predicted string, cosine double")
+    return docs.select("doc_id", "text").transform(in_arrow, _scorer(fit(docs, per_lang, clusters)), "doc_id long, predicted string, cosine double")

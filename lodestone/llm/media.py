@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import in_arrow
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 SIDE, LOW = 32, 8
@@ -290,7 +292,7 @@ def hash_pictures(media: DataFrame) -> DataFrame:
     whole, whatever their size, interlaced ones too: those of one shape share the unfiltering, HELD_BYTES at
     once, and larger ones are read in bands. Of 16-bit samples the high bytes count. An empty table gives no rows.
     """
-    return media.select("media_id", "png").mapInArrow(_hash, "media_id long, status string, width int, height int, hash binary")
+    return media.select("media_id", "png").transform(in_arrow, _hash, "media_id long, status string, width int, height int, hash binary")
 
 
 def encode(picture: np.ndarray, filters: np.ndarray, level: int = 6) -> bytes:
@@ -325,4 +327,4 @@ def _painter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def paint(vectors: DataFrame) -> DataFrame:
     """(media_id, png): each vector (vec_id, embedding) as a square grey picture, its lines using all five filters in turn."""
-    return vectors.select("vec_id", "embedding").mapInArrow(_painter, "media_id long, png binary")
+    return vectors.select("vec_id", "embedding").transform(in_arrow, _painter, "media_id long, png binary")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_steps
+from lodestone.llm.common import in_arrow, text_steps
 
 WIDTH, FILTERS, HOP = 6, 16, 128
 #: Bound of the labelled sample; training passes; documents with a probability below REJECT go.
@@ -186,9 +186,9 @@ def classify(docs: DataFrame, labels: DataFrame, reject: float = REJECT, rows: i
     Null doc_ids and repeated rows are classified like any row. Empty docs give no rows; without labels of
     both classes every probability is 1.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scorer(fit(docs, labels, rows), reject, False), "doc_id long, probability double, keep boolean")
+    return docs.select("doc_id", "text").transform(in_arrow, _scorer(fit(docs, labels, rows), reject, False), "doc_id long, probability double, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, reject: float = REJECT, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs that classify keeps, with docs' columns."""
-    return docs.mapInArrow(_scorer(fit(docs, labels, rows), reject, True), docs.schema)
+    return docs.transform(in_arrow, _scorer(fit(docs, labels, rows), reject, True), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import delete_at_exit, shared_dir
+from lodestone.llm.common import delete_at_exit, in_arrow, shared_dir
 
 VOCABULARY = os.environ.get("LODESTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 END_OF_TEXT = 50256
@@ -111,13 +111,18 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(0xA282EAD8)
 
 
-def encoder(vocabulary: str) -> Callable[[str], list[int]]:
-    """Text to ids with a byte-level BPE vocabulary of ranks, special tokens being ordinary text."""
+def encoder(ranks: bytes) -> Callable[[str], list[int]]:
+    """Text to ids with a byte-level BPE vocabulary file of ranks, special tokens being ordinary text."""
     import tiktoken
 
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("lodestone", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+
+def _ranks(vocabulary: str) -> bytes:
+    """The vocabulary file, read on the driver and sent to the tasks: executors need not have it."""
     with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("lodestone", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return f.read()
 
 
 def tokenize(text: str, encode: Callable[[str], list[int]]) -> bytes:
@@ -138,29 +143,30 @@ def frame(payloads: list[bytes]) -> list[bytes]:
     return [b"".join((head[8 * i : 8 * i + 8], head_crc[4 * i : 4 * i + 4], p, body_crc[4 * i : 4 * i + 4])) for i, p in enumerate(payloads)]
 
 
-def _writer(vocabulary: str):
+def _framed(batches: Iterator[pa.RecordBatch], ranks: bytes) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray]]:
+    """(doc_ids, records, their lengths) of about 4 MB of text at once; batches have doc_id and text."""
+    encode, end = encoder(ranks), np.array([END_OF_TEXT], dtype="<u2").tobytes()
+    for batch in batches:
+        at, rows = 0, batch.num_rows
+        while at < rows:
+            stop, size, payloads = at, 0, []
+            while stop < rows and size < 4 << 20:
+                text = batch.column(1)[stop].as_py() or ""
+                payloads.append(tokenize(text, encode) + end)
+                size += len(text)
+                stop += 1
+            records = frame(payloads)
+            yield batch.column(0).slice(at, stop - at), records, np.array([len(r) for r in records], np.int64)
+            at = stop
+
+
+def _writer(ranks: bytes):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, offset = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([END_OF_TEXT], dtype="<u2").tobytes()
-        for batch in batches:
-            at, rows = 0, batch.num_rows
-            while at < rows:  # about 4 MB of text at once
-                stop, size = at, 0
-                payloads = []
-                while stop < rows and size < 4 << 20:
-                    text = batch.column(1)[stop].as_py() or ""
-                    payloads.append(tokenize(text, encode) + end)
-                    size += len(text)
-                    stop += 1
-                records = frame(payloads)
-                length = np.array([len(r) for r in records], np.int64)
-                begin = offset + np.cumsum(length) - length
-                offset += int(length.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, stop - at), pa.array(np.full(stop - at, shard, np.int32)), pa.array(begin), pa.array(length), pa.array((length - 16) // 2), pa.array(records, pa.binary())],
-                    ["doc_id", "shard", "offset", "length", "n_tokens", "record"],
-                )
-                at = stop
+        shard, offset = TaskContext.get().partitionId(), 0
+        for ids, records, length in _framed(batches, ranks):
+            begin = offset + np.cumsum(length) - length
+            offset += int(length.sum())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(records), shard, np.int32)), pa.array(begin), pa.array(length), pa.array((length - 16) // 2), pa.array(records, pa.binary())], ["doc_id", "shard", "offset", "length", "n_tokens", "record"])
 
     return write
 
@@ -173,14 +179,14 @@ def records(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     and empty texts are sequences of the end alone. Whole texts are encoded, however long; strings of special
     tokens are ordinary text. Null doc_ids and repeated rows get records like any row. An empty table gives none.
     """
-    return docs.select("doc_id", "text").mapInArrow(_writer(vocabulary), SCHEMA)
+    return docs.select("doc_id", "text").transform(in_arrow, _writer(_ranks(vocabulary)), SCHEMA)
 
 
 INDEX = "doc_id long, file string, offset long, length long, n_tokens long"
 
 
-def write_shards(framed: DataFrame, folder: str) -> DataFrame:
-    """Writes records' output as shard files and a separate index of them into folder, and returns the index.
+def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Writes docs' records as shard files and a separate index of them into folder, and returns the index.
 
     folder is a URI that all executors share. Each task streams its shard to a file with a name of its own, which the
     index rows of the same task name; of a task that runs again or twice only the attempt that commits its index rows
@@ -188,24 +194,24 @@ def write_shards(framed: DataFrame, folder: str) -> DataFrame:
     n_tokens), is Parquet in folder/index, a few bytes for each record: it can be shuffled without the records.
     """
 
+    ranks = _ranks(vocabulary)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         out, offset = None, 0
         name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.bin"
-        for batch in batches:
+        for ids, records, length in _framed(batches, ranks):
             if out is None:
                 out = fs.open_output_stream(f"{root}/{name}")
-            data = batch.column(2).to_pylist()
-            length = np.array([len(r) for r in data], np.int64)
-            out.write(b"".join(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(data), pa.string()), pa.array(offset + np.cumsum(length) - length), pa.array(length), batch.column(1)], ["doc_id", "file", "offset", "length", "n_tokens"])
+            out.write(b"".join(records))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([name] * len(records), pa.string()), pa.array(offset + np.cumsum(length) - length), pa.array(length), pa.array((length - 16) // 2)], ["doc_id", "file", "offset", "length", "n_tokens"])
             offset += int(length.sum())
         if out is not None:
             out.close()
 
-    framed.select("doc_id", "n_tokens", "record").mapInArrow(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
-    return framed.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
+    docs.select("doc_id", "text").transform(in_arrow, write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
+    return docs.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 def read_shards(index: DataFrame, folder: str) -> DataFrame:
@@ -231,7 +237,7 @@ def read_shards(index: DataFrame, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    return index.select("doc_id", "file", "offset", "length", "n_tokens").mapInArrow(fetch, f"{INDEX}, record binary")
+    return index.select("doc_id", "file", "offset", "length", "n_tokens").transform(in_arrow, fetch, f"{INDEX}, record binary")
 
 
 def publish(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -244,7 +250,7 @@ def publish(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABU
     if folder is None:
         folder = f"{shared_dir(docs.sparkSession)}/lodestone/tokens-{uuid.uuid4().hex}"
         delete_at_exit(docs.sparkSession, folder)
-    return read_shards(write_shards(records(docs, vocabulary), folder), folder)
+    return read_shards(write_shards(docs, folder, vocabulary), folder)
 
 
 def read_record(data: bytes) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, connected_components, cut, drop_ids, mix, text_steps, words, written
+from lodestone.llm.common import U64, connected_components, cut, drop_ids, in_arrow, mix, text_steps, words, written
 
 BITS, THRESHOLD = 128, 16
 #: Costs for the dynamic program, in microseconds: of a row of a ball made and sorted, of one sent through the
@@ -72,7 +72,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sign(docs: DataFrame) -> DataFrame:
     """(doc_id, s1, s2); null doc_ids and texts without a word are left out."""
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(_sign, "doc_id long, s1 long, s2 long")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").transform(in_arrow, _sign, "doc_id long, s1 long, s2 long")
 
 
 def _bits(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
@@ -92,7 +92,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def moments(distinct: DataFrame) -> np.ndarray:
     """Counts of each pair of bits being set together, the last row and column being a constant 1; over all signatures."""
-    rows = distinct.select("s1", "s2").mapInArrow(_moments, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = distinct.select("s1", "s2").transform(in_arrow, _moments, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((BITS + 1) ** 2, np.float64)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(BITS + 1, BITS + 1)
@@ -272,6 +272,18 @@ def _large(node: np.ndarray, s1: np.ndarray, s2: np.ndarray, threshold: int) ->
     return src[src != dst], dst[src != dst]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches joined to tables of at least so many rows; none is empty."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _bucketer(threshold: int):
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = _Forest(), None
@@ -300,11 +312,9 @@ def _bucketer(threshold: int):
             e = np.array(edges, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["src", "dst"])
 
-        for batch in batches:
+        for batch in _gathered(batches, 1 << 14):
             # unsigned, as bitwise_count takes the absolute value of a signed number
             new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), *(batch.column(k).to_numpy().view(U64) for k in (2, 3))]
-            if not len(new[0]):
-                continue
             if held is not None:
                 new = [np.concatenate([h, x]) for h, x in zip(held, new)]
             last = np.searchsorted(new[0], new[0][-1])  # the last bucket may go on in the next batch
@@ -322,7 +332,7 @@ def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     second = moments(distinct)
     groups, thresholds = allocate(second, threshold)
     keys = [key_bits(len(g), second[-1, -1]) for g in groups]
-    balls = distinct.select("node", "s1", "s2").mapInArrow(_emitter(groups, thresholds, keys), "ball long, node long, s1 long, s2 long")
+    balls = distinct.select("node", "s1", "s2").transform(in_arrow, _emitter(groups, thresholds, keys), "ball long, node long, s1 long, s2 long")
     value, part = F.col("ball").bitwiseAND(~(3 << 55)), F.shiftright("ball", 57)
     left = F.shiftright("ball", 55).bitwiseAND(3)
     low = [len(g) - k for g, k in zip(groups, keys)]
@@ -332,7 +342,7 @@ def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     flip = F.explode(F.element_at(flips, (part * 3 + left).cast("int") + 1)).alias("flip")
     rows = balls.repartition(part, F.call_function("shiftright", value, shift)).select(value.alias("value"), flip, "node", "s1", "s2")
     keyed = rows.select(F.col("value").bitwiseXOR(F.col("flip")).alias("key"), "node", "s1", "s2")
-    return keyed.sortWithinPartitions("key").mapInArrow(_bucketer(threshold), "src long, dst long")
+    return keyed.sortWithinPartitions("key").transform(in_arrow, _bucketer(threshold), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

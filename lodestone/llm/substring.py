@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, mix, powers, text_steps, words
+from lodestone.llm.common import U64, in_arrow, mix, powers, text_steps, words
 
 #: Stands for "no keeper" beside doc_ids.
 NO_KEEPER = np.iinfo(np.int64).min
@@ -203,12 +203,12 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeats is then joined to the texts.
     """
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    digests = some.mapInArrow(_emitter(min_words), "digest long, second int, doc_id long")
+    digests = some.transform(in_arrow, _emitter(min_words), "digest long, second int, doc_id long")
     owner = F.first("doc_id").over(Window.partitionBy("digest", "second").orderBy("doc_id"))
     repeated = digests.withColumn("keep", owner).where("doc_id > keep").distinct()
     of_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "second", "keep")).alias("found"))
     joined = docs.select("doc_id", "text").join(of_doc, "doc_id", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_cleaner(min_words), "doc_id long, text string, removed_spans string, kept_doc_ids array<long>, removed_words long")
+    return joined.transform(in_arrow, _cleaner(min_words), "doc_id long, text string, removed_spans string, kept_doc_ids array<long>, removed_words long")
 
 
 def oracle(min_words: int = MIN_WORDS) -> str:
