@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, drop_ids, text_steps, words, written
+from lodestone.llm.common import U64, drop_ids, in_arrow, text_steps, words, written
 
 #: Words of a passage and of the step between passages; latent dimensions and the extra ones of the sketch;
 #: least cosine of a candidate.
@@ -85,7 +85,7 @@ def _numberer(vocabulary: np.ndarray):
 
 def number(docs: DataFrame, bench: Bench) -> DataFrame:
     """(doc_id, ids): each document's words as numbers of the benchmark's vocabulary, -1 for others."""
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(_numberer(bench.vocabulary), "doc_id long, ids binary")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").transform(in_arrow, _numberer(bench.vocabulary), "doc_id long, ids binary")
 
 
 def _sequences(column: pa.Array, size: int, step: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -117,8 +117,10 @@ def _sums(cell: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-#: Bytes of word numbers that one step turns into latent rows.
-SIDE_BYTES = 1 << 16
+#: Bytes of word numbers that one step turns into latent rows, so few that the rows stay in a core's cache.
+SIDE_BYTES = 1 << 14
+#: Words of a vocabulary whose pairs a task counts in one matrix (four bytes a pair), and the bytes of a step of that.
+PAIR_WORDS, PAIR_BYTES = 6000, 1 << 17
 
 
 def _frequency(size: int):
@@ -136,7 +138,7 @@ def _frequency(size: int):
 
 def weights(numbered: DataFrame, size: int) -> tuple[int, np.ndarray]:
     """The number of passages (of STEP words, side by side) and the inverse document frequency of each word, above 0, over all of them."""
-    rows = numbered.select("ids").mapInArrow(_frequency(size), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = numbered.select("ids").transform(in_arrow, _frequency(size), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(size + 1, np.float64)
     total[rows["cell"].to_numpy() + 1] = rows["n"].to_numpy()
     n, df = total[0], total[1:]
@@ -175,7 +177,7 @@ def _summed(df: DataFrame, work, height: int, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([task], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["at", "task", "block"])
 
     tasks = df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0  # reads no column
-    parts = df.mapInArrow(send, schema).groupBy("at", "task").applyInArrow(_adder(np.float32), schema)
+    parts = df.transform(in_arrow, send, schema).groupBy("at", "task").applyInArrow(_adder(np.float32), schema)
     left = tasks // FAN_IN
     while left:
         parts = parts.groupBy("at", "task").applyInArrow(_adder(np.float64), schema)
@@ -208,8 +210,26 @@ def latent(numbered: DataFrame, bench: Bench, n: int, weight: np.ndarray, rank:
     balance = max(n, 1) / max(len(bench.pieces), 1)
     omega = np.random.default_rng(seed).normal(size=(size, width)).astype(np.float32)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        scaled, out = omega * weight[:, None].astype(np.float32), np.zeros((size, width), np.float32)
+    scaled = omega * weight[:, None].astype(np.float32)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """How many cells have each pair of words, which are few numbers for each cell, then once for all times the random matrix."""
+        both = np.zeros(size * size, np.float32)
+        for batch in batches:
+            for _, ids, offsets in _sequences(batch.column(0), size, PAIR_BYTES):
+                cell, word, _, _ = _cells(ids, offsets, weight)
+                live, apart = np.arange(len(cell)), 0
+                while len(live):  # words of a cell are neighbours, in ascending order
+                    np.add.at(both, word[live] * size + word[live + apart], np.ones(len(live), np.float32))
+                    apart += 1
+                    live = live[live + apart < len(cell)]
+                    live = live[cell[live] == cell[live + apart]]
+        both = both.reshape(size, size)
+        return (both @ scaled + both.T @ scaled - both.diagonal()[:, None] * scaled) * weight[:, None]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """The same sums by way of each cell's row, for vocabularies whose pairs are too many."""
+        out = np.zeros((size, width), np.float32)
         for batch in batches:
             for _, ids, offsets in _sequences(batch.column(0), size, SIDE_BYTES):
                 cell, word, first, _ = _cells(ids, offsets, weight)
@@ -220,6 +240,7 @@ def latent(numbered: DataFrame, bench: Bench, n: int, weight: np.ndarray, rank:
                     out[word[order][begin]] += np.add.reduceat(z[cell[order]], begin, axis=0)
         return out * weight[:, None]
 
+    sketch = pairs if size <= PAIR_WORDS else rows
     y = _summed(numbered.select("ids"), sketch, size, width)
     for x in _piece_matrices(bench, weight):
         y += balance * (x.T @ (x @ omega))
@@ -361,7 +382,7 @@ def _group_leaks(docs: DataFrame, items: DataFrame, rank: int, cosine: float) ->
     numbered = written(number(docs, bench), "numbers")
     n, weight = weights(numbered, len(bench.vocabulary))
     space = latent(numbered, bench, n, weight, rank)
-    found = numbered.select("doc_id", "ids").mapInArrow(_searcher(bench, weight, space, cosine), LEAKS)
+    found = numbered.select("doc_id", "ids").transform(in_arrow, _searcher(bench, weight, space, cosine), LEAKS)
     best = F.max(F.struct("share", "cosine", (-F.col("word")).alias("back"), "answer_share")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("word"), "best.cosine", "best.share", "best.answer_share")
 

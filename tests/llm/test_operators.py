@@ -147,7 +147,7 @@ def test_records_round_trip_through_shards(spark, documents, tmp_path):
         assert ids[-1] == records.END_OF_TEXT and len(ids) == r["n_tokens"] and r["length"] == len(r["record"])
         assert decode(ids[:-1]) == texts[r["doc_id"]]
     folder = f"file://{tmp_path}/out"
-    index = records.write_shards(framed, folder).collect()
+    index = records.write_shards(some, folder).collect()
     assert len(index) == len(texts)
     for r in reversed(index):
         assert decode(records.read_at(folder, r["file"], r["offset"], r["length"]).tolist()[:-1]) == texts[r["doc_id"]]
@@ -730,6 +730,17 @@ def test_matrices_add_up_over_many_tasks(spark, monkeypatch):
     assert (total == 100).all()
 
 
+def test_both_ways_to_the_sketch_agree(documents, benchmark, monkeypatch):
+    bench = decontam.prepare(benchmark)
+    numbered = decontam.number(documents, bench).persist()
+    n, weight = decontam.weights(numbered, len(bench.vocabulary))
+    one = decontam.latent(numbered, bench, n, weight, 20)
+    monkeypatch.setattr(decontam, "PAIR_WORDS", 0)
+    other = decontam.latent(numbered, bench, n, weight, 20)
+    assert np.abs(one @ one.T - other @ other.T).max() < 1e-3
+    numbered.unpersist()
+
+
 def test_paraphrases_are_found_and_others_left(spark, documents, benchmark):
     item = benchmark.orderBy("item_id").first()
     w = item["text"].split()
