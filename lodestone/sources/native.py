@@ -47,12 +47,13 @@ def sql_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def proto(files: DataFrame) -> DataFrame:
-    """(file, service, method, request, response) of proto services."""
+    """(file, service, method, request, response) of proto services (S13); streams count as what they carry."""
     bare = F.regexp_replace("content", r"(?s)//[^\n]*|/\*.*?\*/", "")
-    service, rpc = r"(?s)service\s+(\w+)\s*\{((?:[^{}]|\{[^{}]*\})*)\}", r"rpc\s+(\w+)\s*\(\s*(?:stream\s+)?([\w.]+)\s*\)\s*returns\s*\(\s*(?:stream\s+)?([\w.]+)\s*\)"
+    service, call = r"(?s)service\s+(\w+)\s*\{((?:[^{}]|\{[^{}]*\})*)\}", r"(?s)\brpc\b([^(]*)\(([^)]*)\)[^(;{]*\(([^)]*)\)"
     found = files.where(F.endswith("path", F.lit(".proto"))).select(F.col("path").alias("file"), F.explode(F.regexp_extract_all(bare, F.lit(service), 0)).alias("s"))
-    each = found.select("file", F.regexp_extract("s", service, 1).alias("service"), F.posexplode(F.regexp_extract_all("s", F.lit(rpc), 0)).alias("pos", "r"))
-    return each.select("file", "service", *(F.regexp_extract("r", rpc, i + 1).alias(n) for i, n in enumerate(("method", "request", "response"))), "pos")
+    each = found.select("file", F.regexp_extract("s", service, 1).alias("service"), F.posexplode(F.regexp_extract_all("s", F.lit(call), 0)).alias("pos", "r"))
+    word = lambda i: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract("r", call, i), r"\s+", " ")), "^stream ", "")
+    return each.select("file", "service", word(1).alias("method"), word(2).alias("request"), word(3).alias("response"), "pos")
 
 
 def mybatis(files: DataFrame) -> tuple[DataFrame, DataFrame]:
