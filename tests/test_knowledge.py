@@ -251,6 +251,14 @@ def test_start_init_then_sync(spark, tree, tmp_path):
     assert not K.sync(spark, f"file://{root}", store, dry_run=True).count()
 
 
+def test_a_scan_of_small_files_is_few_tasks(spark, tree, tmp_path):
+    files = S.scan(spark, f"file://{tree}")
+    assert files.rdd.getNumPartitions() > 1  # by the listing
+    store = K.start_init(spark, f"file://{tree}", f"file://{tmp_path}/kb")
+    kept = store.read("files")
+    assert len(kept.inputFiles()) == 1 and rows(kept.select("path", "content", "size")) == rows(files.select("path", "content", "size"))
+
+
 def test_every_language_reaches_the_tables(spark, tree, tmp_path):
     import shutil
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import audit, graph, relational as R, rules, search, status
+from lodestone.shared import together
 from lodestone.sources.store import Store, markdown_table
 from tests.helpers import rows
 
@@ -146,6 +147,28 @@ def test_store_versions(spark, tmp_path):
         store.read("none")
 
 
+def test_a_table_that_was_never_written_is_known_to_be_empty(spark, tmp_path):
+    none = Store(spark, f"file://{tmp_path}/kb").read("none", "id int NOT NULL, at timestamp, m map<string,int>, a array<struct<b:string>>")
+    assert none.schema.simpleString() == "struct<id:int,at:timestamp,m:map<string,int>,a:array<struct<b:string>>>"
+    assert "LocalRelation <empty>" in none._jdf.queryExecution().optimizedPlan().toString()  # so no task is run for it
+
+
+def test_steps_run_side_by_side_after_those_they_need(spark):
+    import threading
+
+    both, group = threading.Barrier(2, timeout=60), lambda: spark.sparkContext.getLocalProperty("spark.jobGroup.id")
+    spark.sparkContext.setJobGroup("steps", "")
+    wait = lambda: both.wait() * 0 + spark.range(3).count()  # noqa: E731  neither gets through alone
+    out = together(spark, {"a": ((), wait), "b": ((), wait), "c": (("a", "b"), lambda a, b: (a + b, group()))}, 2)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out == {"a": 3, "b": 3, "c": (6, "steps")}
+
+    ran = []
+    with pytest.raises(ZeroDivisionError):
+        together(spark, {"bad": ((), lambda: 1 / 0), "after": (("bad",), ran.append), "other": ((), lambda: ran.append("other"))})
+    assert ran == ["other"]
+
+
 JAVA = {
     "a/WebConfig.java": """package c.a;
 @EnableConfigurationProperties(WebProperties.class)
