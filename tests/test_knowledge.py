@@ -259,6 +259,18 @@ def test_a_scan_of_small_files_is_few_tasks(spark, tree, tmp_path):
     assert len(kept.inputFiles()) == 1 and rows(kept.select("path", "content", "size")) == rows(files.select("path", "content", "size"))
 
 
+def test_calls_of_a_common_name_do_not_meet_every_class(spark):
+    n = 60
+    text = "class C{0}:\n    def get(self):\n        pass\n\n    def run(self):\n        self.get()\n        other.get()\n        c{1}.get()\n        x.only{1}()\n\n    def only{0}(self):\n        pass\n"
+    files = spark.createDataFrame([(f"m{i}.py", text.format(i, (i + 1) % n)) for i in range(n)], "path string, content string")
+    edges = K.call_graph_others(files)[1]
+    got = edges.select("src", "dst", "confidence").collect()
+    want = [(f"method:C{i}#run", f"method:C{j}#{m}", c) for i in range(n) for j, m, c in ((i, "get", "high"), ((i + 1) % n, "get", "high"), ((i + 1) % n, f"only{(i + 1) % n}", "low"))]
+    assert sorted(map(tuple, got)) == sorted(want)
+    joins = [line for line in edges._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line]
+    assert joins and not any(" OR " in line for line in joins)  # by equality alone: no pair is made to be thrown away
+
+
 def test_every_language_reaches_the_tables(spark, tree, tmp_path):
     import shutil
 
