@@ -251,6 +251,16 @@ def test_start_init_then_sync(spark, tree, tmp_path):
     assert not K.sync(spark, f"file://{root}", store, dry_run=True).count()
 
 
+def test_a_file_saved_after_the_listing_stays_as_it_was_listed(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("a = 1\n")
+    root = f"file://{tmp_path}/src"
+    S.scan(spark, root).write.parquet(f"{tmp_path}/before")
+    now = S.rescan(spark, root, spark.read.parquet(f"{tmp_path}/before"))
+    (tmp_path / "src/a.py").write_text("a = 1000\n")
+    assert rows(now.select("path", "content")) == [("a.py", "a = 1\n")]  # and not gone
+
+
 def test_a_scan_of_small_files_is_few_tasks(spark, tree, tmp_path):
     files = S.scan(spark, f"file://{tree}")
     assert files.rdd.getNumPartitions() > 1  # by the listing
